@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from corpuswright.llm.fingerprints import op1_query
+from corpuswright.llm.langid import op2_query
+from corpuswright.llm.neardup import op6_query
 
 QUERIES = {
     "op1_fingerprints": op1_query,
+    "op2_language_id": op2_query,
+    "op6_minhash_neardup": op6_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
