@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,9 @@ def written(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, st
     path = f"{new_dir(df.sparkSession, name)}/table"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path), path
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
