@@ -49,3 +49,26 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as executors need it."""
+    where = _path(spark, path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path) of a qualified path, on an executor."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def replace_file(uri: str, data_writer) -> None:
+    """Write a file under another name first, so that a lost or repeated attempt never leaves half of one."""
+    system, path = file_system(uri)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        data_writer(out)
+    system.move(part, path)
