@@ -61,6 +61,7 @@ class Words:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
         self.ends = np.cumsum(sizes + 1) - 1  # of each text, its separator's place
+        self.newlines = np.flatnonzero(cp == 10)  # the texts' own and their separators
         at = np.flatnonzero((is_letter if letters_only else is_word)[cp])
         self.points = lower[cp[at]]
         first = np.ones(len(at), np.bool_)
