@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpuswright.llm.decontaminate import OP5_SQL, op5_query
 from corpuswright.llm.fingerprints import op1_query
+from corpuswright.llm.html_text import op10_query
 from corpuswright.llm.langid import op2_query
 from corpuswright.llm.licenses import op9_query
 from corpuswright.llm.neardup import op6_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_warc": op7_query,
     "op8_token_store": op8_query,
     "op9_licenses": op9_query,
+    "op10_html_text": op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
