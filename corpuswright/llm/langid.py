@@ -241,6 +241,20 @@ def predict(docs: DataFrame, m: Model | None, text: str = "text", keep: tuple[st
     return src.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, m: Model | None, text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, whose language is found with a score of ``least`` or more; lang becomes what was found."""
+    at = docs.columns.index(lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, texts in pieces(b, text):
+                found, score = _documents(m, texts)
+                columns = [pa.array(found, pa.string()) if n == at else c.slice(i, j - i) for n, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(found, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans(docs: DataFrame, m: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Of every document the runs of words with one most probable label: key, from, to (code points of its words' first and last starts), n_words, lang."""
     src = docs.select(F.col(key), F.col(text).alias("__text"))

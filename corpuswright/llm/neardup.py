@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuswright.llm.store import drop, written
+from corpuswright.llm.store import drop, free_shuffles, written
 from corpuswright.llm.words import Words, mix, pieces, shingles
 
 SHINGLE = 5
@@ -268,6 +268,8 @@ def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.
 
     found, _ = written(rows.mapInArrow(run, "a binary, b binary").distinct(), "links")
     drop(docs.sparkSession, met_path)
+    del rows, met
+    free_shuffles(docs.sparkSession)
     return found
 
 

@@ -176,28 +176,28 @@ def prefix_hashes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, down
 
 
-def runs(t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(t: np.ndarray, first: np.ndarray, last: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, ...]:
     """Runs of the strings that start at first[i] to last[i] (one pair for each text): text, start, number of starts, anchor's hash, context's hash."""
     n = len(t)
     empty = np.zeros(0, np.int64)
-    if n < MATCH or not len(first):
+    if n < match or not len(first):
         return empty, empty, empty, empty, empty
     h, down = prefix_hashes(t)
     m = n - GRAM + 1
     gram = mix((h[GRAM:] - h[:m]) * down[:m])
     key = (gram & ~_PLACE) | np.arange(m, dtype=np.uint64)
-    width = MATCH - GRAM + 1
+    width = match - GRAM + 1
     have, size = key, 1
     while size * 2 <= width:
         have = np.minimum(have[:-size], have[size:])
         size *= 2
     if size < width:
-        have = np.minimum(have[: n - MATCH + 1], have[width - size : width - size + n - MATCH + 1])
+        have = np.minimum(have[: n - match + 1], have[width - size : width - size + n - match + 1])
     anchor_at = (have & _PLACE).astype(np.int64)
     valid = np.zeros(n + 1, np.int32)
     np.add.at(valid, first, 1)
     np.add.at(valid, last + 1, -1)
-    x = np.flatnonzero(np.cumsum(valid)[: n - MATCH + 1] > 0)
+    x = np.flatnonzero(np.cumsum(valid)[: n - match + 1] > 0)
     a = anchor_at[x]
     new = np.ones(len(x), np.bool_)
     new[1:] = (np.diff(a) != 0) | (np.diff(x) != 1)
@@ -205,48 +205,51 @@ def runs(t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray
     at = np.flatnonzero(new)
     x0, count = x[at], np.diff(np.append(at, len(x)))
     place = a[at]
-    context = mix((h[x0 + count - 1 + MATCH] - h[x0]) * down[x0] + mix((place - x0).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64)))
+    context = mix((h[x0 + count - 1 + match] - h[x0]) * down[x0] + mix((place - x0).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64)))
     return np.searchsorted(first, x0, side="right") - 1, x0, count, gram[place].view(np.int64), context.view(np.int64)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of every different text of the task, with the number of its copies."""
-    copies: dict[bytes, int] = {}
-    found: list[tuple] = []
-    pending: list[tuple[bytes, bytes, int]] = []
-
-    def flush() -> None:
-        parts, first, last, at = [], [], [], 0
-        for _, part, _ in pending:
-            first.append(at)
-            last.append(at + len(part) - MATCH)
-            parts.append(part)
-            at += len(part)
-        doc, x0, count, anchor, context = runs(np.frombuffer(b"".join(parts), np.uint8), np.array(first, np.int64), np.array(last, np.int64))
-        found.append(([pending[i][0] for i in doc.tolist()], x0 - np.array(first, np.int64)[doc] + np.array([p[2] for p in pending], np.int64)[doc], count, anchor, context))
-        pending.clear()
-
-    held = 0
-    for b in batches:
-        for text in b.column("text"):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if len(data) < MATCH:
-                continue
-            name = hashlib.md5(data, usedforsecurity=False).digest()
-            copies[name] = copies.get(name, 0) + 1
-            if copies[name] > 1:
-                continue
-            for i in range(0, len(data) - MATCH + 1, PIECE):
-                part = data[i : i + PIECE + MATCH - 1]
-                pending.append((name, part, i))
-                held += len(part)
-                if held >= PIECE:
-                    flush()
-                    held = 0
-    if pending:
-        flush()
-    for names, x0, count, anchor, context in found:
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(x0), pa.array(count, pa.int64()), pa.array(anchor), pa.array(context), pa.array([copies[x] for x in names], pa.int64())], names=["name", "x0", "starts", "anchor", "context", "copies"])
+def _occurrences(match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of every different text of the task, with the number of its copies."""
+        copies: dict[bytes, int] = {}
+        found: list[tuple] = []
+        pending: list[tuple[bytes, bytes, int]] = []
+
+        def flush() -> None:
+            parts, first, last, at = [], [], [], 0
+            for _, part, _ in pending:
+                first.append(at)
+                last.append(at + len(part) - match)
+                parts.append(part)
+                at += len(part)
+            doc, x0, count, anchor, context = runs(np.frombuffer(b"".join(parts), np.uint8), np.array(first, np.int64), np.array(last, np.int64))
+            found.append(([pending[i][0] for i in doc.tolist()], x0 - np.array(first, np.int64)[doc] + np.array([p[2] for p in pending], np.int64)[doc], count, anchor, context))
+            pending.clear()
+
+        held = 0
+        for b in batches:
+            for text in b.column("text"):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if len(data) < match:
+                    continue
+                name = hashlib.md5(data, usedforsecurity=False).digest()
+                copies[name] = copies.get(name, 0) + 1
+                if copies[name] > 1:
+                    continue
+                for i in range(0, len(data) - match + 1, PIECE):
+                    part = data[i : i + PIECE + match - 1]
+                    pending.append((name, part, i))
+                    held += len(part)
+                    if held >= PIECE:
+                        flush()
+                        held = 0
+        if pending:
+            flush()
+        for names, x0, count, anchor, context in found:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(x0), pa.array(count, pa.int64()), pa.array(anchor), pa.array(context), pa.array([copies[x] for x in names], pa.int64())], names=["name", "x0", "starts", "anchor", "context", "copies"])
+
+    return run
 
 
 # ---- the corpus -----------------------------------------------------------
@@ -257,12 +260,15 @@ def _with_text(rows: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0).join(rows, "id").select("name", "text", "at")
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
-            data = text.as_buffer().to_pybytes()
-            if hashlib.md5(data, usedforsecurity=False).digest() == name:  # not another row with the same id
-                yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in at], pa.int64()), pa.array([x["context"] for x in at], pa.int64()), pa.array([x["twice"] for x in at], pa.bool_()), pa.array([x["starts"] for x in at], pa.int64()), pa.array([data[x["x0"] : x["x0"] + x["starts"] - 1 + MATCH] for x in at], pa.binary())], names=["anchor", "context", "twice", "starts", "bytes"])
+def _contexts(match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                if hashlib.md5(data, usedforsecurity=False).digest() == name:  # not another row with the same id
+                    yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in at], pa.int64()), pa.array([x["context"] for x in at], pa.int64()), pa.array([x["twice"] for x in at], pa.bool_()), pa.array([x["starts"] for x in at], pa.int64()), pa.array([data[x["x0"] : x["x0"] + x["starts"] - 1 + match] for x in at], pa.binary())], names=["anchor", "context", "twice", "starts", "bytes"])
+
+    return run
 
 
 _CONTEXT = "anchor long, context long, twice boolean, starts long, bytes binary"
@@ -274,28 +280,31 @@ def _verdicts(anchor: list[int], context: list[int], marks: list[np.ndarray]) ->
     return pa.RecordBatch.from_arrays([pa.array([anchor[i] for i in some], pa.int64()), pa.array([context[i] for i in some], pa.int64()), pa.array([np.packbits(marks[i], bitorder="little").tobytes() for i in some], pa.binary())], names=["anchor", "context", "repeated"])
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts, anchor by anchor: which of their strings repeat."""
-    held: dict[tuple[int, int], tuple[bytes, int, bool]] = {}
-    size, last = 0, None
+def _sorted_blocks(match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts, anchor by anchor: which of their strings repeat."""
+        held: dict[tuple[int, int], tuple[bytes, int, bool]] = {}
+        size, last = 0, None
 
-    def close() -> pa.RecordBatch:
-        marks = repeated_starts([x[0] for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()])
-        return _verdicts([k[0] for k in held], [k[1] for k in held], marks)
+        def close() -> pa.RecordBatch:
+            marks = repeated_starts([x[0] for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()], match)
+            return _verdicts([k[0] for k in held], [k[1] for k in held], marks)
 
-    for b in batches:
-        for anchor, context, twice, starts, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "twice", "starts", "bytes")), strict=True):
-            if anchor != last and size >= BLOCK:
-                yield close()
-                held, size = {}, 0
-            last = anchor
-            held[anchor, context] = (data, starts, twice)
-            size += len(data)
-    if held:
-        yield close()
+        for b in batches:
+            for anchor, context, twice, starts, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "twice", "starts", "bytes")), strict=True):
+                if anchor != last and size >= BLOCK:
+                    yield close()
+                    held, size = {}, 0
+                last = anchor
+                held[anchor, context] = (data, starts, twice)
+                size += len(data)
+        if held:
+            yield close()
+
+    return run
 
 
-def _hot_keys(parts: int):
+def _hot_keys(parts: int, match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The hashes of all strings of each context, dealt to parts by value."""
         for b in batches:
@@ -304,7 +313,7 @@ def _hot_keys(parts: int):
             for i, (anchor, k, twice, data) in enumerate(zip(anchors, starts, b.column("twice").to_pylist(), b.column("bytes"), strict=True)):
                 t = np.frombuffer(data.as_buffer(), np.uint8)
                 h, down = prefix_hashes(t)
-                own = mix((h[MATCH : MATCH + k] - h[:k]) * down[:k] + np.uint64(anchor % (1 << 64)))
+                own = mix((h[match : match + k] - h[:k]) * down[:k] + np.uint64(anchor % (1 << 64)))
                 for _ in range(1 + twice):
                     keys.append(own)
                     of.append(np.full(k, i))
@@ -354,85 +363,126 @@ def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _verdicts(ids[0][at[i : min(i + 5000, len(marks))]].tolist(), ids[1][at[i : min(i + 5000, len(marks))]].tolist(), marks[i : i + 5000])
 
 
-def covered(x0: list[int], marks: list[bytes], n: int) -> list[tuple[int, int]]:
+def covered(x0: list[int], marks: list[bytes], n: int, match: int = MATCH) -> list[tuple[int, int]]:
     """The bytes covered by the strings that start at x0[i] + j for every set bit j: maximal runs (from, to)."""
     edge = np.zeros(n + 1, np.int32)
     for x, m in zip(x0, marks, strict=True):
         at = x + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little"))
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + MATCH, -1)
+        np.add.at(edge, at + match, -1)
     inside = np.concatenate([[0], (np.cumsum(edge)[:n] > 0).astype(np.int8), [0]])
     turn = np.flatnonzero(np.diff(inside))
     return list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        names, froms, tos, shas = [], [], [], []
-        for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
-            data = text.as_buffer().to_pybytes()
-            if hashlib.md5(data, usedforsecurity=False).digest() != name or names and names[-1] == name:
-                continue
-            found = covered([x["x0"] for x in at], [x["repeated"] for x in at], len(data))
-            kept, done = hashlib.sha256(), 0
-            for a, z in found:
-                kept.update(data[done:a])
-                done = z
-            kept.update(data[done:])
-            names.append(name)
-            froms.append([a for a, _ in found])
-            tos.append([z for _, z in found])
-            shas.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(froms, pa.list_(pa.int64())), pa.array(tos, pa.list_(pa.int64())), pa.array(shas, pa.string())], names=["name", "from", "to", "kept_sha256"])
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """name (MD5 of the text's bytes), from, to (arrays: the removed runs), kept_sha256, a row for each text that loses bytes, once at least; and the names of all rows by ``named``."""
+def _spans(match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, froms, tos, shas = [], [], [], []
+            for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                if hashlib.md5(data, usedforsecurity=False).digest() != name or names and names[-1] == name:
+                    continue
+                found = covered([x["x0"] for x in at], [x["repeated"] for x in at], len(data), match)
+                kept, done = hashlib.sha256(), 0
+                for a, z in found:
+                    kept.update(data[done:a])
+                    done = z
+                kept.update(data[done:])
+                names.append(name)
+                froms.append([a for a, _ in found])
+                tos.append([z for _, z in found])
+                shas.append(kept.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(froms, pa.list_(pa.int64())), pa.array(tos, pa.list_(pa.int64())), pa.array(shas, pa.string())], names=["name", "from", "to", "kept_sha256"])
+
+    return run
+
+
+def repeated_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
+    """name (MD5 of the text's bytes), at: where its runs begin and, as bits, which strings from there on repeat. A row for each text that loses bytes, in a written table."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(_occurrences, "name binary, x0 long, starts long, anchor long, context long, copies long"), "runs")
-    first = named(docs, key, text).groupBy("name").agg(F.min("id").alias("id"))
+    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(_occurrences(match), "name binary, x0 long, starts long, anchor long, context long, copies long"), "runs")
     contexts = where.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("name", "x0")).alias("e"), F.first("starts").alias("starts"))
     several = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
     wanted = contexts.join(several, "anchor").select("anchor", "context", F.col("e.name").alias("name"), F.col("e.x0").alias("x0"), (F.col("n") > 1).alias("twice"), "starts", (F.col("different") > CONTEXTS).alias("hot"))
-    wanted, wanted_path = written(wanted.join(first, "name"), "wanted")
+    wanted, wanted_path = written(wanted.join(_first(docs, key, text), "name"), "wanted")
     free_shuffles(spark)
 
     def fetched(hot: bool) -> DataFrame:
         rows = wanted.where(F.col("hot") == F.lit(hot)).groupBy("id", "name").agg(F.collect_list(F.struct("anchor", "context", "twice", "x0", "starts")).alias("at"))
-        return _with_text(rows, docs, key, text).mapInArrow(_contexts, _CONTEXT)
+        return _with_text(rows, docs, key, text).mapInArrow(_contexts(match), _CONTEXT)
 
-    found, found_path = written(fetched(False).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks, _VERDICT), "verdicts")
+    found, found_path = written(fetched(False).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(match), _VERDICT), "verdicts")
     paths = [where_path, wanted_path, found_path]
     if wanted.where("hot").limit(1).count():
         free_shuffles(spark)
-        keys = fetched(True).mapInArrow(_hot_keys(parts), "part long, keys binary, ids binary, nth binary")
-        hot = keys.repartition(parts, "part").mapInArrow(_hot_counts, _VERDICT)
-        more, more_path = written(hot, "verdicts")
+        keys = fetched(True).mapInArrow(_hot_keys(parts, match), "part long, keys binary, ids binary, nth binary")
+        more, more_path = written(keys.repartition(parts, "part").mapInArrow(_hot_counts, _VERDICT), "verdicts")
         found, paths = found.unionByName(more), [*paths, more_path]
     free_shuffles(spark)
-    marks = where.join(found, ["anchor", "context"]).select("name", "x0", "repeated").groupBy("name").agg(F.collect_set(F.struct("x0", "repeated")).alias("at"))
-    out, _ = written(_with_text(marks.join(first, "name"), docs, key, text).mapInArrow(_spans, "name binary, from array<long>, to array<long>, kept_sha256 string"), "spans")
+    out, _ = written(where.join(found, ["anchor", "context"]).groupBy("name").agg(F.collect_set(F.struct("x0", "repeated")).alias("at")), "marks")
     for p in paths:
         drop(spark, p)
     free_shuffles(spark)
     return out
 
 
+def _first(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return named(docs, key, text).groupBy("name").agg(F.min("id").alias("id"))
+
+
 def named(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, name, n_bytes and sha256 of every row."""
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     return docs.select(F.col(key).alias("id"), F.unhex(F.md5(data)).alias("name"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, name, n_bytes, n_removed, n_spans, kept_sha256, from and to of every row."""
-    spans = repeated_spans(docs, key, text)
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
+    """key, name, n_bytes, n_removed, n_spans, kept_sha256, from and to (the removed runs) of every row."""
+    marks = repeated_marks(docs, key, text, match)
+    # Copies lose the same bytes: one of them is read, and the others take over its result.
+    spans, _ = written(_with_text(marks.join(_first(docs, key, text), "name"), docs, key, text).mapInArrow(_spans(match), "name binary, from array<long>, to array<long>, kept_sha256 string").dropDuplicates(["name"]), "spans")
+    free_shuffles(docs.sparkSession)
     rows = named(docs, key, text).join(spans, "name", "left")
     length = F.aggregate(F.zip_with("to", "from", lambda z, a: z - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return rows.select(F.col("id").alias(key), "name", "n_bytes", F.coalesce(length, F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("from").cast("long"), F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "from", "to")
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
+    """The documents, with all their columns, less the characters that lie wholly in repeated bytes; a text that loses all of them goes."""
+    marks = repeated_marks(docs, key, text, match)
+    of = named(docs, key, text).select("id", "name").distinct().join(marks, "name").withColumnRenamed("name", "__name")
+    data = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    rows = docs.join(of, F.col(key).eqNullSafe(of["id"]) & (data == F.col("__name")), "left").select(*docs.columns, F.col("at").alias("__at"))
+    names, at_column = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for value, at in zip(b.column(text), b.column("__at"), strict=True):
+                if not at.is_valid:
+                    texts.append(value.as_py())
+                    keep.append(True)
+                    continue
+                whole, at = value.as_buffer().to_pybytes(), at.as_py()
+                parts, done = [], 0
+                for a, z in covered([x["x0"] for x in at], [x["repeated"] for x in at], len(whole), match):
+                    # A character that is covered in part stays.
+                    while a < z and whole[a] & 0xC0 == 0x80:
+                        a += 1
+                    while z > a and z < len(whole) and whole[z] & 0xC0 == 0x80:
+                        z -= 1
+                    parts.append(whole[done:a])
+                    done = z
+                texts.append(b"".join([*parts, whole[done:]]).decode())
+                keep.append(bool(texts[-1]))
+            columns = [pa.array(texts, pa.string()) if i == at_column else b.column(c) for i, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
