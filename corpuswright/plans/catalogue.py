@@ -1,6 +1,619 @@
-"""The library's own queries by name, with the SQL that they are held against."""
+"""The library's own queries by name, with the SQL that they are held against.
+
+The tables stand in for the engine's: documents for source documents (lang for
+the domain, source for the language, doc_id for the order), the byte model for
+tokens, pages for URL keys, labels for scores, events for training logs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuswright.functions import formulas as fx
+from corpuswright.functions.text import byte_tokens, content_sha256, in_val_bucket, is_blank, normalize_url, sanitize, source_key, strip, training_pieces
+from corpuswright.operators import admission, dedup, filters, metrics, mixture, packing, spans, split
+from corpuswright.sources import scans
+from corpuswright.sources.tables import written
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TRAIN, VAL, LANGUAGE = 120_000, 3_000, 9_000
+LENGTH, SHARD = 128, 5_000
+WEIGHTS = {"en": 0.55, "fr": 0.20, "de": 0.15, "es": 0.10}
+DOMAIN_ORD = {"en": 0, "fr": 1, "de": 2, "es": 3}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = plain_counts(sql)
+        return f
+
+    return add
+
+
+def plain_counts(sql: str) -> str:
+    """count_if gives 128-bit numbers in DuckDB; count of a CASE gives Spark's type."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if(') : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """domain, language, seq, n, sha256, in_val of every document; no text."""
+    d = table(spark, sf_dir, "documents").where(~is_blank("text")).select(F.col("lang").alias("domain"), F.col("source").alias("language"), F.col("doc_id").alias("seq"), byte_tokens("text").alias("n"), content_sha256("text").alias("sha256"))
+    return d.withColumn("in_val", in_val_bucket("sha256"))
+
+
+def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents of each content, in a written table of slim rows."""
+    d = dedup.mark_content_duplicates(prepared(spark, sf_dir)).where("is_first").drop("is_first", "first_domain")
+    return written(d, "unique")
+
+
+def mapping(values: dict[str, float | int], key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key]
+
+
+PREP = r"""
+p AS (SELECT lang AS domain, source AS language, doc_id AS seq, text, CAST(strlen(text) + 1 AS BIGINT) AS n,
+  sha256(regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '')) AS sha256 FROM documents WHERE trim(text) <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY seq) = 1 AS is_first, first_value(domain) OVER (PARTITION BY sha256 ORDER BY seq) AS first_domain,
+  (CAST('0x' || substr(sha256, 15, 2) AS INTEGER) % 64) = 0 AS in_val FROM p),
+u AS (SELECT * FROM f WHERE is_first)
+"""
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _split_sql(language: bool) -> str:
+    limit = f"coalesce(sum(CASE WHEN NOT is_val THEN n END) OVER (PARTITION BY domain, language ORDER BY seq {BEFORE}), 0) < {LANGUAGE}" if language else "true"
+    return f"""
+WITH {PREP}, a AS (SELECT *, in_val AND coalesce(sum(CASE WHEN in_val THEN n END) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) < {VAL} AS is_val FROM u),
+b AS (SELECT *, NOT is_val AND {limit} AS ok FROM a),
+c AS (SELECT *, coalesce(sum(CASE WHEN ok THEN n END) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) AS pt FROM b)
+SELECT domain, language, seq, n, CASE WHEN is_val THEN 'val' WHEN ok AND pt < {TRAIN} THEN 'train' END AS split FROM c
+"""
+
+
+# ---- text, keys, deduplication --------------------------------------------
+
+
+@query(f"WITH {PREP} SELECT seq AS doc_id, sha256 AS content_sha256, is_first FROM f")
+def content_hash_dedup(spark, sf_dir):
+    d = dedup.mark_content_duplicates(prepared(spark, sf_dir))
+    return d.select(F.col("seq").alias("doc_id"), F.col("sha256").alias("content_sha256"), "is_first")
+
+
+@query(f"WITH {PREP} SELECT first_domain || '->' || domain AS pair, 'content' AS kind, count(*) AS n FROM f WHERE NOT is_first GROUP BY ALL")
+def dup_pair_counts(spark, sf_dir):
+    return dedup.duplicate_pairs(dedup.mark_content_duplicates(prepared(spark, sf_dir)))
+
+
+@query(f"WITH {PREP} SELECT count_if(is_first) AS content, count(DISTINCT CASE WHEN is_first THEN 'id:' || (seq // 2) END) AS keys, count_if(NOT is_first) AS dups FROM f")
+def dedup_index_sizes(spark, sf_dir):
+    d = prepared(spark, sf_dir).withColumn("source_keys", F.array(source_key("id", F.expr("seq div 2"))))
+    return dedup.index_sizes(d, dedup.mark_content_duplicates(d))
+
+
+@query(f"""WITH {PREP}, h AS (SELECT DISTINCT sha256 FROM f WHERE seq % 3 = 0) SELECT seq, domain FROM f WHERE sha256 NOT IN (SELECT sha256 FROM h)""")
+def index_anti_join(spark, sf_dir):
+    d = prepared(spark, sf_dir)
+    return dedup.not_in_index(d, d.where("seq % 3 = 0").select("sha256").distinct()).select("seq", "domain")
+
+
+URL_SQL = r"""SELECT page_id, CASE WHEN coalesce(trim(url), '') <> '' THEN
+  coalesce(nullif(lower(regexp_extract(trim(url), R, 1)), ''), 'http') || '://' || regexp_replace(lower(regexp_extract(trim(url), R, 2)), '^www[.]', '')
+  || coalesce(nullif(regexp_replace(regexp_extract(trim(url), R, 3), '/+$', ''), ''), '/')
+  || CASE WHEN regexp_extract(trim(url), R, 4) <> '' THEN '?' || regexp_extract(trim(url), R, 4) ELSE '' END END AS url_norm FROM pages""".replace("R,", r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?',")
+
+
+@query(f"SELECT page_id, url_norm, 'url:' || url_norm AS source_key FROM ({URL_SQL})")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normalize_url("url").alias("url_norm"), source_key("url", "url").alias("source_key"))
+
+
+@query(f"SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url_norm, '^[a-z]+://([^/?]+)', 1) ORDER BY page_id) AS k FROM ({URL_SQL})) WHERE k = 1")
+def url_key_dedup(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.array(F.regexp_extract(normalize_url("url"), "^[a-z]+://([^/?]+)", 1)).alias("source_keys"))
+    return dedup.first_by_every_key(p).select(F.col("seq").alias("page_id"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) = text AS same, length(nfc_normalize(text)) AS n_chars FROM documents")
+def nfc_sanitize(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    return sanitize(d).select("doc_id", (F.col("text") == F.col("before")).alias("same"), F.length("text").alias("n_chars"))
+
+
+@query("SELECT doc_id, CAST(len(x) AS INTEGER) AS n_pieces, CAST(list_sum(list_transform(x, lambda y: length(y))) AS BIGINT) AS n_chars FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda z: trim(z, ' ' || chr(10))), lambda y: length(y) >= 4) AS x FROM documents WHERE length(text) < 50000)")
+def training_piece_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.length("text") < 50_000).select("doc_id", training_pieces("text").alias("x"))
+    return d.select("doc_id", F.size("x").alias("n_pieces"), F.when(F.size("x") > 0, F.aggregate("x", F.lit(0).cast("long"), lambda a, y: a + F.length(y))).alias("n_chars"))
+
+
+# ---- filters --------------------------------------------------------------
+
+
+@query(f"""WITH {PREP} SELECT domain, count(*) AS inspected, count_if(is_first AND NOT in_val AND n <= 20000) AS accepted_train, count_if(is_first AND in_val AND n <= 20000) AS accepted_val,
+  count_if(NOT is_first) AS duplicate, CAST(0 AS BIGINT) AS unencodable, count_if(is_first AND n > 20000) AS skipped, CAST(coalesce(sum(CASE WHEN is_first AND n <= 20000 THEN n END), 0) AS BIGINT) AS tokens FROM f GROUP BY domain""")
+def row_filters_counters(spark, sf_dir):
+    d = dedup.mark_content_duplicates(prepared(spark, sf_dir))
+    ok = F.col("is_first") & (F.col("n") <= 20_000)
+    return filters.counters(d, "domain", ok, F.col("in_val"), ~F.col("is_first"), F.lit(False), F.col("n"))
+
+
+@query("""SELECT doc_id, (toxic = 0 OR doc_id % 5 = 0) AND quality + 3 >= 4 AS high, (toxic = 0 OR doc_id % 5 = 0) AND quality + 3 >= 3 AND quality + 3 < 4 AS low FROM labels""")
+def license_score_band(spark, sf_dir):
+    d = table(spark, sf_dir, "labels")
+    kind, found, blob = F.when(F.col("toxic") == 0, "permissive").otherwise("no_license"), F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(" MIT "))), F.col("doc_id").cast("string")
+    score = F.col("quality") + 3
+    return d.select("doc_id", filters.code_row_is_eligible(kind, found, score, F.lit(None), blob, 4).alias("high"), filters.code_row_is_eligible(kind, found, score, F.lit(None), blob, 3, 4).alias("low"))
+
+
+@query("""SELECT page_id, contains(replace(u, '\\', '/'), 'CC-MAIN-2024-38/000_00041') AS denied FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'data\\CC-MAIN-2024-38\\000_00041.parquet ' || url ELSE url END AS u FROM pages)""".replace("\\\\", "\\"))
+def denied_marker_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "pages")
+    return d.select("page_id", filters.hits_denied_marker(F.when(F.col("page_id") % 7 == 0, F.lit("data\\CC-MAIN-2024-38\\000_00041.parquet")), F.col("url")).alias("denied"))
+
+
+PATHS = ["train/a.parquet", "test-00.parquet", "data/dev/x.json.gz", "x/validation_1.csv", "valid/x.txt", "a.PKL", "b.jsonl.gz", "c.arrow", "run.sh", "m.ipynb", "latest/test.txt", "noext", "devel/x.tsv"]
+_PATH_ROWS = ", ".join(f"('{p}')" for p in PATHS)
+
+
+@query(f"""SELECT path, regexp_matches(lower(path), '(^|/)(test|validation|valid)[-_][^/]*$') OR regexp_matches(lower(path), '(^|/)(test|validation|valid|dev)/') AS is_eval,
+  regexp_extract(lower(path), '((?:[.](?:json|jsonl|txt|csv))?[.]gz|[.][^./]+)$', 1) AS format,
+  regexp_extract(lower(path), '((?:[.](?:json|jsonl|txt|csv))?[.]gz|[.][^./]+)$', 1) IN ('.parquet', '.arrow', '.json', '.jsonl', '.json.gz', '.jsonl.gz', '.txt', '.txt.gz', '.csv', '.tsv', '.csv.gz') AS allowed,
+  regexp_extract(lower(path), '([.][^./]+)$', 1) IN ('.pkl', '.pickle', '.pt', '.pth', '.bin', '.exe', '.so', '.dll', '.dylib', '.sh', '.bat', '.ps1', '.cmd', '.py', '.ipynb') AS denied
+  FROM (VALUES {_PATH_ROWS}) AS t(path)""")
+def path_predicates(spark, sf_dir):
+    d = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    c = F.col("path")
+    return d.select("path", filters.is_eval_path(c).alias("is_eval"), filters.format_of(c).alias("format"), filters.format_is_allowed(c).alias("allowed"), filters.format_is_denied(c).alias("denied"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 15")
+def shard_top_rows(spark, sf_dir):
+    return scans.top_rows(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 15)
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE length(d.text) > 100")
+def blob_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id")
+    return d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT text_column, count(*) AS n FROM (SELECT 'text' AS text_column FROM documents WHERE trim(text) <> '') GROUP BY 1")
+def text_table_scan(spark, sf_dir):
+    d = scans.text_table(spark, f"{sf_dir}/documents.parquet", "general", "documents")
+    return d.where(F.col("native_id").endswith(F.concat(F.lit(":"), F.col("row_index").cast("string")))).groupBy(F.lit(scans.text_column(["id", "text", "content"])).alias("text_column")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(o AS INTEGER) AS source_ord, count(*) AS n FROM (SELECT 0 AS o, doc_id FROM documents WHERE doc_id >= 10 UNION ALL SELECT 1, item_id FROM benchmark) GROUP BY 1")
+def locked_union(spark, sf_dir):
+    a = scans.text_table(spark, f"{sf_dir}/documents.parquet", "general", "documents")
+    b = scans.text_table(spark, f"{sf_dir}/benchmark.parquet", "general", "benchmark")
+    return scans.union_all([a, b], skip=10).groupBy("source_ord").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- splits and quotas ----------------------------------------------------
+
+
+@query(f"WITH {PREP} SELECT seq, in_val FROM f")
+def val_bucket(spark, sf_dir):
+    return prepared(spark, sf_dir).select("seq", "in_val")
+
+
+@query(_split_sql(False))
+def quota_split(spark, sf_dir):
+    return split.quota_split(unique(spark, sf_dir), F.lit(TRAIN), F.lit(VAL)).select("domain", "language", "seq", "n", "split")
+
+
+@query(_split_sql(True))
+def language_quota_split(spark, sf_dir):
+    return split.quota_split(unique(spark, sf_dir), F.lit(TRAIN), F.lit(VAL), F.lit(LANGUAGE)).select("domain", "language", "seq", "n", "split")
+
+
+def replay_split(spark, sf_dir):
+    d = prepared(spark, sf_dir).withColumn("source_keys", F.array().cast("array<string>"))
+    out = dedup.replay(d, TRAIN, VAL)
+    return out.where("outcome in ('train', 'val')")
+
+
+QUERIES["replay_split"] = replay_split
+ORACLE_SQL["replay_split"] = f"SELECT domain, seq, split AS outcome FROM ({_split_sql(False)}) WHERE split IS NOT NULL"
+
+_LANG_ROWS = ", ".join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(split.CODE_LANGUAGES.items()))
+
+
+def code_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(split.CODE_LANGUAGES.items())], "language string, weight double, ord int")
+
+
+@query(f"""WITH q AS (SELECT language, CAST(round_even(CAST(w AS DOUBLE) * 150003712, 0) AS BIGINT) AS q, o FROM (VALUES {_LANG_ROWS}) AS t(language, w, o))
+SELECT language, CAST(q + CASE WHEN language = 'Python' THEN 150003712 - (SELECT sum(q) FROM q) ELSE 0 END AS BIGINT) AS quota FROM q""")
+def code_token_quotas(spark, sf_dir):
+    return split.token_quotas(code_weights(spark), 150_003_712)
+
+
+@query(f"WITH w AS (SELECT * FROM (VALUES {_LANG_ROWS}) AS t(language, w, o) WHERE language IN ('Python', 'Rust', 'Go')) SELECT language, round(w / (SELECT sum(w) FROM w), 9) AS weight FROM w")
+def code_path_weights(spark, sf_dir):
+    files = spark.createDataFrame([("Python/a.parquet",), ("Rust/b.parquet",), ("Go/c/d.parquet",), ("Cobol/x.parquet",)], "path string")
+    return split.weights_of_paths(files, code_weights(spark)).select("language", F.round("weight", 9).alias("weight"))
+
+
+@query(f"""WITH d AS (SELECT d.source AS language, d.doc_id AS seq, CAST(strlen(d.text) + 1 AS BIGINT) AS n, l.quality + 3 AS score FROM documents d JOIN labels l USING (doc_id)),
+q AS (SELECT DISTINCT source AS language, CAST(20000 AS BIGINT) AS quota FROM documents),
+a1 AS (SELECT seq, language, n, quota, coalesce(sum(n) OVER (PARTITION BY language ORDER BY seq {BEFORE}), 0) AS b FROM d JOIN q USING (language) WHERE score >= 4),
+one AS (SELECT seq, language, n, 1 AS pass FROM a1 WHERE b < quota),
+o AS (SELECT q.language, quota - coalesce((SELECT sum(n) FROM one WHERE one.language = q.language), 0) AS deficit FROM q),
+a2 AS (SELECT seq, language, n, deficit, coalesce(sum(n) OVER (PARTITION BY language ORDER BY seq {BEFORE}), 0) AS b FROM d JOIN o USING (language) WHERE score >= 3 AND score < 4),
+two AS (SELECT seq, language, n, 2 AS pass FROM a2 WHERE deficit > 0 AND b < deficit),
+a3 AS (SELECT seq, language, n, coalesce(sum(n) OVER (ORDER BY seq {BEFORE}), 0) AS b FROM a2 WHERE NOT (deficit > 0 AND b < deficit)),
+three AS (SELECT seq, language, n, 3 AS pass FROM a3 WHERE (SELECT coalesce(sum(n), 0) FROM (FROM one UNION ALL FROM two)) + b < 420000)
+FROM one UNION ALL FROM two UNION ALL FROM three""")
+def three_pass_fill(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("language"), F.col("doc_id").alias("seq"), byte_tokens("text").alias("n"))
+    d = written(docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), (F.col("quality") + 3).alias("score")), "seq"), "scored")
+    quotas = docs.select("language").distinct().withColumn("quota", F.lit(20_000).cast("long"))
+    return split.three_pass_fill(d, quotas, 420_000)
+
+
+@query(f"WITH {PREP}, s AS (SELECT domain, CAST(sum(n) AS BIGINT) AS tokens FROM u GROUP BY domain) SELECT domain, tokens, round(tokens / (SELECT sum(tokens) FROM s), 9) AS share FROM s")
+def mixture_actual(spark, sf_dir):
+    return split.shares(dedup.mark_content_duplicates(prepared(spark, sf_dir)).where("is_first"), "domain", "n")
+
+
+@query(f"WITH {PREP} SELECT domain, language, CAST(sum(n) AS BIGINT) AS tokens FROM u GROUP BY ALL")
+def language_tokens(spark, sf_dir):
+    return dedup.mark_content_duplicates(prepared(spark, sf_dir)).where("is_first").groupBy("domain", "language").agg(F.sum("n").alias("tokens"))
+
+
+# ---- packing --------------------------------------------------------------
+
+
+@query(f"WITH {PREP} SELECT domain, seq, CAST(coalesce(sum(n) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) AS BIGINT) AS \"offset\" FROM u")
+def doc_offsets(spark, sf_dir):
+    return packing.offsets(unique(spark, sf_dir), ["domain"]).select("domain", "seq", "offset")
+
+
+_WIDTH = packing.shard_width(SHARD, LENGTH)
+
+
+@query(f"""WITH {PREP}, k AS (SELECT domain, sum(n) - sum(n) % {LENGTH + 1} AS kept FROM u GROUP BY domain),
+s AS (SELECT domain, kept, unnest(range(CAST((kept + {_WIDTH - 1}) // {_WIDTH} AS BIGINT))) AS shard FROM k) SELECT domain, CAST(shard AS BIGINT) AS shard, CAST(least({_WIDTH}, kept - shard * {_WIDTH}) AS BIGINT) AS n_tokens FROM s""")
+def shard_cuts(spark, sf_dir):
+    return packing.shard_cuts(dedup.mark_content_duplicates(prepared(spark, sf_dir)).where("is_first"), ["domain"], SHARD, LENGTH)
+
+
+@query(f"""WITH {PREP}, o AS (SELECT seq, n, coalesce(sum(n) OVER (ORDER BY seq {BEFORE}), 0) AS o FROM u), t AS (SELECT least(sum(n), 240000) AS t, greatest(least(sum(n), 240000) - 40000, 0) AS e FROM u),
+x AS (SELECT seq, greatest(least(o + n, e - e % {LENGTH + 1}) - greatest(o, 0), 0) AS a, greatest(least(o + n, t - (t - e) % {LENGTH + 1}) - greatest(o, e), 0) AS b FROM o, t)
+SELECT seq, CAST(a AS BIGINT) AS train_tokens, CAST(b AS BIGINT) AS val_tokens FROM x WHERE a + b > 0""")
+def tail_val_split(spark, sf_dir):
+    return packing.tail_val(unique(spark, sf_dir), 200_000, 40_000, LENGTH).select("seq", F.col("train_tokens").cast("long").alias("train_tokens"), F.col("val_tokens").cast("long").alias("val_tokens"))
+
+
+@query(f"""WITH {PREP}, o AS (SELECT domain, seq, n, CAST(coalesce(sum(n) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) AS BIGINT) AS o FROM u),
+w AS (SELECT *, unnest(range(o // {LENGTH + 1}, (o + n - 1) // {LENGTH + 1} + 1)) AS w FROM o)
+SELECT domain, seq, w AS "window", greatest(w * {LENGTH + 1}, o) - o AS "from", least(w * {LENGTH + 1} + {LENGTH + 1}, o + n) - o AS "to" FROM w""")
+def window_doc_map(spark, sf_dir):
+    return packing.window_map(packing.offsets(unique(spark, sf_dir), ["domain"]), LENGTH).select("domain", "seq", "window", "from", "to")
+
+
+def _with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique documents with the byte model's ids: byte + 4, end token 2."""
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int") + 4)
+    return packing.offsets(unique(spark, sf_dir), ["domain"]).join(text, "seq").select("domain", "seq", "offset", "n", F.concat(ids, F.array(F.lit(packing.END))).alias("ids"))
+
+
+@query(f"""WITH {PREP}, o AS (SELECT domain, n, CAST(coalesce(sum(n) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) AS BIGINT) AS o, hex(encode(text)) AS x FROM u),
+t AS (SELECT domain, o + unnest(range(n)) AS p, unnest(list_transform(range(n), lambda i: CASE WHEN i = n - 1 THEN 2 ELSE CAST('0x' || x[2 * i + 1:2 * i + 2] AS INTEGER) + 4 END)) AS id FROM o)
+SELECT domain, p // {LENGTH + 1} AS "window", sha256(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p)) AS tokens_sha256 FROM t GROUP BY 1, 2 HAVING count(*) = {LENGTH + 1}""")
+def packed_window_tokens(spark, sf_dir):
+    w = packing.windows(_with_ids(spark, sf_dir), ["domain"], LENGTH)
+    return w.select("domain", "window", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("tokens_sha256"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN n > 0 THEN (n + 510) // 511 END AS BIGINT) AS n_windows FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def eval_window_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return d.select("doc_id", F.when(F.col("n") > 0, F.size(packing.eval_windows(F.col("n"), 512))).cast("long").alias("n_windows"))
+
+
+# ---- spans and gates ------------------------------------------------------
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = prepared(spark, sf_dir)
+    return d.select("domain", F.when(F.col("seq") % 8 == 0, "val").otherwise("train").alias("split"), F.col("sha256").alias("digest"), F.col("seq").alias("ord"), F.col("n").alias("n_tokens"))
+
+
+SPANS = f"""{PREP}, s AS (SELECT domain, CASE WHEN seq % 8 = 0 THEN 'val' ELSE 'train' END AS split, sha256 AS digest, seq AS ord, n AS n_tokens FROM f),
+r AS (SELECT *, first_value(ord) OVER w AS first_ord, first_value(n_tokens) OVER w AS first_n FROM s WINDOW w AS (PARTITION BY domain, split, digest ORDER BY ord))"""
+_AUDIT = f"""SELECT domain, split, count(*) AS n_docs, count_if(ord = first_ord) AS n_unique, count_if(ord > first_ord AND least(n_tokens, first_n) >= {spans.SUBSTANTIAL}) AS collisions,
+  count_if(ord > first_ord AND least(n_tokens, first_n) < {spans.SUBSTANTIAL}) AS short_collisions FROM r GROUP BY ALL"""
+_LEAKS = "SELECT domain, digest, max(n_tokens) AS n_tokens, count(*) AS copies FROM s WHERE split = 'train' AND (domain, digest) IN (SELECT (domain, digest) FROM s WHERE split = 'val') GROUP BY ALL"
+
+
+@query(f"WITH {SPANS} {_AUDIT}")
+def span_audit(spark, sf_dir):
+    return spans.audit(_spans(spark, sf_dir), ["domain", "split"])
+
+
+@query(f"WITH {SPANS} {_LEAKS}")
+def train_val_leak(spark, sf_dir):
+    return spans.leaks(_spans(spark, sf_dir))
+
+
+@query(f"WITH {SPANS}, k AS (SELECT * FROM r WHERE ord = first_ord) SELECT domain, split, digest, ord, n_tokens FROM k WHERE NOT (split = 'train' AND (domain, digest) IN (SELECT (domain, digest) FROM k WHERE split = 'val'))")
+def span_dedup_repair(spark, sf_dir):
+    return spans.repair(_spans(spark, sf_dir))
+
+
+@query(f"""WITH {PREP}, s AS (SELECT domain, count(*) * 100 AS inspected, count_if(NOT is_first) * CASE domain WHEN 'en' THEN 1200 WHEN 'fr' THEN 400 ELSE 10 END AS duplicate FROM f GROUP BY domain)
+SELECT domain, inspected, duplicate, round(duplicate / inspected, 9) AS ratio, CASE WHEN inspected >= 1000 AND duplicate / inspected >= 0.85 THEN 'pathological' WHEN inspected >= 1000 AND duplicate / inspected >= 0.25 THEN 'warning' ELSE 'info' END AS severity FROM s""")
+def source_redundancy(spark, sf_dir):
+    d = dedup.mark_content_duplicates(prepared(spark, sf_dir)).groupBy("domain").agg((F.count(F.lit(1)) * 100).alias("inspected"), F.count_if(~F.col("is_first")).alias("c"))
+    factor = F.when(F.col("domain") == "en", 1200).when(F.col("domain") == "fr", 400).otherwise(10)
+    return spans.redundancy(d.select("domain", "inspected", (F.col("c") * factor).alias("duplicate")))
+
+
+@query(f"""WITH {SPANS}, a AS ({_AUDIT}), l AS ({_LEAKS}), t AS (SELECT domain, sum(CASE WHEN split = 'train' THEN n_tokens END) AS tr, sum(CASE WHEN split = 'val' THEN n_tokens END) AS va FROM s GROUP BY domain)
+SELECT domain, 'train_quota' AS gate, tr >= 100000 * 0.999 AS ok FROM t UNION ALL SELECT domain, 'val_quota', va >= 60000 * 0.99 FROM t
+UNION ALL SELECT domain, 'unique_spans', (SELECT sum(collisions) FROM a WHERE a.domain = t.domain) = 0 FROM t UNION ALL SELECT domain, 'no_leak', (SELECT count(*) FROM l WHERE l.domain = t.domain) = 0 FROM t""")
+def corpus_gate_report(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    tokens = lambda k: F.sum(F.when(F.col("split") == k, F.col("n_tokens")))
+    stats = s.groupBy("domain").agg(tokens("train").alias("tokens_train"), tokens("val").alias("tokens_val"))
+    quotas = s.select("domain").distinct().select("domain", F.lit(100_000).alias("train_quota"), F.lit(60_000).alias("val_quota"))
+    return spans.gate_report(stats, spans.audit(s, ["domain", "split"]), spans.leaks(s), quotas)
+
+
+# ---- mixture, samples, dialogues ------------------------------------------
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = prepared(spark, sf_dir).groupBy("domain").agg(F.expr(f"sum(n) div {LENGTH + 1}").alias("windows"))
+    return d.select("domain", mapping(DOMAIN_ORD, F.col("domain")).alias("ord"), "windows", mapping(WEIGHTS, F.col("domain")).alias("weight"))
+
+
+@query(f"""WITH {PREP}, s AS (SELECT domain, sum(n) // {LENGTH + 1} AS windows FROM f GROUP BY domain), w AS (SELECT * FROM (VALUES ('en', 0.55, 0), ('fr', 0.2, 1), ('de', 0.15, 2), ('es', 0.1, 3)) AS t(domain, w, o)),
+c AS (SELECT domain, windows, o, CAST(round_even(CAST(w AS DOUBLE) * 1001, 0) AS BIGINT) AS take FROM s JOIN w USING (domain) WHERE windows > 0)
+SELECT domain, CAST(CASE WHEN o = 3 THEN 1001 - (SELECT sum(take) FROM c WHERE o < 3) ELSE take END AS BIGINT) AS take FROM c""")
+def epoch_counts(spark, sf_dir):
+    return mixture.epoch_counts(_sizes(spark, sf_dir), 1001).select("domain", "take")
+
+
+@query()
+def epoch_assignments(spark, sf_dir):
+    return mixture.epoch_assignments(written(_sizes(spark, sf_dir), "sizes"), 1001, 42, 0)
+
+
+@query(f"SELECT doc_id AS seq FROM (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id {BEFORE}), 0) AS b FROM documents WHERE trim(text) <> '') WHERE b < 250000")
+def take_chars_prefix(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return mixture.take_chars(d, 250_000, blank=is_blank("text")).select("seq")
+
+
+@query("SELECT domain, budget, chars, CAST(ceil(budget / chars) AS BIGINT) AS rounds FROM (SELECT lang AS domain, CAST(floor(w * 1000000) AS BIGINT) AS budget, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents JOIN (VALUES ('en', 0.55::DOUBLE), ('fr', 0.2::DOUBLE), ('de', 0.15::DOUBLE), ('es', 0.1::DOUBLE)) AS t(lang, w) USING (lang) GROUP BY lang, w)")
+def stratified_char_budget(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("domain")).agg(F.sum(F.length("text")).alias("chars")).withColumn("weight", mapping(WEIGHTS, F.col("domain")))
+    return mixture.char_budgets(d, 1_000_000).select("domain", "budget", "chars", "rounds")
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN lower(role) IN ('user', 'human') THEN 'User: ' ELSE 'Assistant: ' END || trim(text), chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) IN ('user', 'human', 'assistant', 'gpt') AND trim(text) <> '' GROUP BY conv_id""")
+def conversation_render(spark, sf_dir):
+    return mixture.render_dialogues(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT domain, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS tokens, round(sum(length(text)) / sum(strlen(text) + 1), 9) AS chars_per_token, round(sum(strlen(text)) / sum(strlen(text) + 1), 9) AS bytes_per_token FROM (SELECT lang AS domain, text FROM documents) GROUP BY domain""")
+def tokenizer_ratios(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), "text", byte_tokens("text").alias("n"))
+    return metrics.tokenizer_ratios(d, "domain", "text", "n")
+
+
+@query("SELECT round(0.55 * 4.0 + 0.2 * 3.5 + 0.15 * 3.0 + 0.1 * 4.2, 9)::DOUBLE AS now, round(0.55 * 4.1 + 0.2 * 3.9 + 0.15 * 3.2 + 0.1 * 4.3, 9)::DOUBLE AS candidate, true AS choose_candidate")
+def tokenizer_choice(spark, sf_dir):
+    ratios = spark.createDataFrame([("general", 4.0, 4.1), ("math", 3.5, 3.9), ("code", 3.0, 3.2), ("science", 4.2, 4.3)], "domain string, now double, candidate double")
+    return metrics.choose_tokenizer(ratios, spark.createDataFrame(list(split.DOMAINS.items()), "domain string, weight double"))
+
+
+@query()
+def tokenizer_bpe_encode(spark, sf_dir):
+    import public_tokenizers
+
+    from corpuswright.operators.tokens import encode
+
+    d = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return d.select("doc_id", F.size("ids").alias("n_tokens"), filters.tokens_are_valid(F.col("ids")).alias("valid"))
+
+
+# ---- logs -----------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT event_type, avg(value) AS loss, CASE event_type WHEN 'view' THEN 0.55 WHEN 'click' THEN 0.2 WHEN 'error' THEN 0.15 ELSE 0.1 END AS w FROM events WHERE event_type <> 'signup' GROUP BY event_type)
+SELECT round(sum(w * loss) / sum(w), 6) AS overall, round(sum(w * loss) FILTER (event_type <> 'view') / sum(w) FILTER (event_type <> 'view'), 6) AS stem FROM l""")
+def domain_weighted_loss(spark, sf_dir):
+    names, w = {"view": "general", "click": "math", "error": "code", "purchase": "science"}, {"view": 0.55, "click": 0.20, "error": 0.15, "purchase": 0.10}
+    d = table(spark, sf_dir, "events").where("event_type <> 'signup'").groupBy("event_type").agg(F.avg("value").alias("loss"))
+    out = metrics.weighted_loss(d.select(mapping(names, F.col("event_type")).alias("domain"), "loss", mapping(w, F.col("event_type")).alias("weight")))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+MARKS = [0, 2_500, 5_000, 123_456]
+
+
+@query(f"""SELECT event_type, mark, event_id, value FROM (SELECT event_type, mark, event_id, value, row_number() OVER (PARTITION BY event_type, mark ORDER BY abs(event_id - mark), event_id) AS k FROM events, (SELECT unnest({MARKS}) AS mark)) WHERE k = 1""")
+def nearest_mark_join(spark, sf_dir):
+    d = table(spark, sf_dir, "events").withColumn("at", F.col("event_id"))
+    return metrics.nearest(d, MARKS, "event_id", "value", "event_type", "at")
+
+
+@query("SELECT event_type, count_if(value > greatest(8.0, 2 * p)) AS spikes, min(value) AS least_loss, count(*) AS n FROM (SELECT event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) GROUP BY event_type")
+def loss_spikes(spark, sf_dir):
+    return metrics.loss_spikes(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
+
+
+@query("SELECT user_id, arg_min(event_id, (-value, event_id)) AS event_id, max(value) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def best_trial(spark, sf_dir):
+    return metrics.best_trial(table(spark, sf_dir, "events"), "user_id", "value", F.col("event_type") != "error", "event_id")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_value, round(avg(k), 6) AS mean_k, arg_max(value, event_id) AS last_value, arg_max(k, event_id) AS last_k, count(*) AS samples FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
+def gpu_log_means(spark, sf_dir):
+    d = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return metrics.sample_means(d, "event_type", ["value", "k"], "event_id")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""WITH s AS (SELECT user_id, min(value) AS best_loss, arg_max(value, event_id) AS final_loss FROM events GROUP BY user_id) SELECT user_id, best_loss, final_loss, final_loss - (SELECT min(final_loss) FROM s) <= 0.02 AS ties_for_best FROM s""")
+def val_curve_summary(spark, sf_dir):
+    return metrics.curve_summary(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+
+
+@query("SELECT event_type, mark, min(event_id) AS reached FROM events, (SELECT unnest([50, 200, 400]) AS mark) WHERE value >= mark GROUP BY ALL")
+def milestones_reached(spark, sf_dir):
+    d = table(spark, sf_dir, "events")
+    return metrics.milestones(d, [50, 200, 400], "event_type", "value", "event_id")
+
+
+@query("SELECT event_id, (value * 100 - 19060) / 19060 >= 0.1 AS migrate FROM events")
+def migration_gain(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", metrics.migrate(F.col("value") * 100, F.col("value")).alias("migrate"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 3""")
+def keep_last_checkpoints(spark, sf_dir):
+    return metrics.keep_last(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("""SELECT o_orderkey, round(CASE WHEN r > 0 AND t > 0 THEN t / r / 3600 * 2.1 + 34 ELSE 'inf'::DOUBLE END, 6) AS total, CASE WHEN r > 0 AND t > 0 THEN t / r / 3600 * 2.1 + 34 ELSE 'inf'::DOUBLE END <= 98 AS may_continue FROM (SELECT o_orderkey, o_custkey * 1000000 AS t, o_totalprice AS r FROM orders)""")
+def cost_projection(spark, sf_dir):
+    d = table(spark, sf_dir, "orders")
+    total = fx.projected_cost(F.lit(12.0), F.lit(20.0), F.col("o_custkey") * 1_000_000, F.col("o_totalprice"))
+    return d.select("o_orderkey", F.round(total, 6).alias("total"), fx.may_continue(total).alias("may_continue"))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 20 THEN 6e-4 * i / 20 WHEN i > 200 THEN 6e-5 ELSE 6e-5 + (6e-4 - 6e-5) * 0.5 * (1 + cos(pi() * (i - 20) / 180)) END, 12) AS lr, round(exp(i / 100.0), 6) AS ppl FROM range(0, 221) AS t(i)""")
+def lr_schedule(spark, sf_dir):
+    d = spark.range(221)
+    return d.select(F.col("id").alias("step"), F.round(fx.learning_rate(F.col("id"), F.lit(6e-4), 20, 200, F.lit(6e-5)), 12).alias("lr"), F.round(fx.perplexity(F.col("id") / 100), 6).alias("ppl"))
+
+
+@query("""SELECT width, layers, CAST(32000 * width + layers * (width * (heads + 2 * groups) * 64 + heads * 64 * width + 128 + 2 * width + 3 * width * inner_) + width AS BIGINT) AS parameters FROM (VALUES (768, 12, 12, 4, 2048), (1024, 24, 16, 4, 2816)) AS t(width, layers, heads, groups, inner_)""")
+def parameter_counts(spark, sf_dir):
+    d = spark.createDataFrame([(768, 12, 12, 4, 2048), (1024, 24, 16, 4, 2816)], "width int, layers int, heads long, groups long, inner long")
+    return d.select("width", "layers", fx.parameter_count(F.lit(32_000), F.col("width").cast("long"), F.col("layers"), F.col("heads"), F.col("groups"), F.lit(64), F.col("inner"), F.lit(True)).cast("long").alias("parameters"))
+
+
+@query("SELECT lr, wd FROM (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS lr), (SELECT unnest([0.0, 0.05, 0.2])::DOUBLE AS wd)")
+def config_grid(spark, sf_dir):
+    lr = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.01, 0.05, 0.1)))).alias("lr"))
+    return lr.withColumn("wd", F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.2)))))
+
+
+# ---- admission ------------------------------------------------------------
+
+FILES = [
+    ("general", "web", "r1", "data/a.parquet", 100, "aa", "safe", None), ("general", "web", "r1", "data/b.parquet", 250, "bb", "unsafe", None), ("general", "web", "r2", "data/c.parquet", 300, "cc", "safe", None),
+    ("math", "m", "r1", "x.parquet", 400, "dd", None, None), ("math", "m", "r1", "y.parquet", 500, "ee", "queued", "safe"), ("math", "m", "r1", "z.pkl", 10, "ff", "safe", None),
+    ("code", "c", "r1", "p.json.gz", 20, "bad", "safe", None), ("code", "c", "r1", "q.csv", 30, "11", None, None), ("science", "s", "r1", "t.jsonl", 40, "99", "strange", None), ("science", "s", "r1", "u.txt", 50, "", "scanning", ""),
+]
+DENY = [("web", "data/zzz.parquet", None, 0), ("other", "k.parquet", "BAD", 1)]
+LOCK = [(0, "web", "r1", "data/a.parquet", "AA", "safe", False), (0, "c", "r1", "q.csv", "11", "safe", False), (0, "m", "r1", "x.parquet", "zz", "safe", False), (1, "s", "r1", "u.txt", "", None, True)]
+
+
+def _sql_rows(rows: list[tuple]) -> str:
+    one = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_VERDICTS = f"""WITH fi AS (SELECT * FROM (VALUES {_sql_rows(FILES)}) AS t(domain, dataset_id, revision, path, size, sha256, ss, av)), de AS (SELECT * FROM (VALUES {_sql_rows(DENY)}) AS t(ds, p, sh, o)),
+lo AS (SELECT * FROM (VALUES {_sql_rows(LOCK)}) AS t(o, ds, rev, p, sh, st, reviewed)),
+j AS (SELECT fi.*, lo.sh AS lsh, lo.st AS lst, coalesce(lo.reviewed, false) AS ok, (SELECT min(rev) FROM lo l2 WHERE l2.ds = fi.dataset_id) AS lrev, lower(coalesce(ss, '')) AS s, lower(coalesce(av, '')) AS a,
+ EXISTS (SELECT 1 FROM de WHERE (de.ds = fi.dataset_id AND (de.p = fi.path OR lower(de.sh) = lower(fi.sha256))) OR (de.ds <> fi.dataset_id AND lower(de.sh) = lower(fi.sha256))) AS d
+ FROM fi LEFT JOIN lo ON lo.ds = fi.dataset_id AND lo.p = fi.path),
+v AS (SELECT domain, dataset_id, path, size, CASE WHEN lrev IS NOT NULL AND revision <> lrev THEN 'mismatch' WHEN d THEN 'denied' WHEN path LIKE '%.pkl' THEN 'denied'
+ WHEN coalesce(lsh, '') <> '' AND sha256 <> '' AND lower(lsh) <> lower(sha256) THEN 'mismatch' WHEN s IN ('unsafe', 'infected', 'malware', 'unwanted') THEN 'denied' WHEN s = 'safe' OR a = 'safe' THEN 'approved'
+ WHEN lst = 'safe' AND s = '' AND a = '' THEN 'approved' WHEN ok THEN 'approved' ELSE 'unresolved' END AS verdict FROM j)"""
+
+
+def _judged(spark: SparkSession) -> DataFrame:
+    files = spark.createDataFrame(FILES, "domain string, dataset_id string, revision string, path string, size long, sha256 string, security_status string, av_status string")
+    deny = spark.createDataFrame(DENY, "dataset_id string, path string, sha256 string, entry_ord int")
+    lock = spark.createDataFrame(LOCK, "source_ord int, dataset_id string, revision string, path string, sha256 string, status string, reviewed boolean")
+    return admission.verdicts(files, deny, lock)
+
+
+@query(f"{_VERDICTS} SELECT dataset_id, path, verdict FROM v")
+def file_verdicts(spark, sf_dir):
+    return _judged(spark).select("dataset_id", "path", "verdict")
+
+
+@query(f"{_VERDICTS} SELECT domain, count_if(verdict = 'approved') AS approved, count_if(verdict = 'denied') AS denied, count_if(verdict = 'unresolved') AS unresolved, count_if(verdict = 'mismatch') AS mismatch, count_if(verdict = 'approved') > 0 AND count_if(verdict IN ('unresolved', 'mismatch')) = 0 AS passed FROM v GROUP BY domain")
+def domain_audit(spark, sf_dir):
+    return admission.domain_audit(_judged(spark))
+
+
+@query("""WITH s AS (SELECT source, doc_id, strlen(text) AS size, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+o AS (SELECT source, min(k) AS k FROM s WHERE k > 1 AND b + size > 30000 GROUP BY source) SELECT s.source, s.doc_id FROM s LEFT JOIN o USING (source) WHERE o.k IS NULL OR s.k < o.k""")
+def budgeted_lock(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    return admission.within_budget(d, "source", "doc_id", "size", F.lit(30_000)).select("source", "doc_id")
+
+
+@query(f"{_VERDICTS} SELECT dataset_id, path, size FROM v WHERE verdict = 'approved'")
+def lock_round_trip(spark, sf_dir):
+    return admission.flat_lock(admission.lock_of(_judged(spark).where("verdict = 'approved'"))).select("dataset_id", "path", "size")
+
+
+# ---- streaming, and the star tables ---------------------------------------
+
+
+@query("SELECT lang, count(DISTINCT text) AS n FROM (SELECT min(lang) AS lang, text FROM documents GROUP BY text) GROUP BY lang")
+def streaming_dedup(spark, sf_dir):
+    from corpuswright.sources.tables import new_dir
+    from corpuswright.streaming.ingest import documents_stream, ingest
+
+    base = new_dir(spark, "stream")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema.simpleString()[7:-1].replace(":", " ")
+    stream = documents_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
+    ingest(stream, f"{base}/table", f"{base}/index", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/table").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from corpuswright.streaming.ingest import event_counts
+
+    return event_counts(table(spark, sf_dir, "events")).select("event_type", "window_start", "n")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def star_pricing_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
+    return d.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def star_nation_revenue(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    d = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return d.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+_ = strip  # part of the module's surface: callers build their own keys with it

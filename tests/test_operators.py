@@ -1,0 +1,213 @@
+"""Operators on hand-made rows, and closed forms against sequential versions."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpuswright.functions.text import content_sha256, is_blank, nfc, normalize_url, sanitize, source_key, strip, training_pieces
+from corpuswright.operators import admission, dedup, filters, metrics, mixture, packing, spans, split
+from corpuswright.operators.prefix import prefix_sum
+from corpuswright.operators.tokens import round_trips, train_bpe, with_end
+from corpuswright.plans import catalogue
+from corpuswright.sources import scans, shards
+from corpuswright.streaming import ingest
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_unicode(spark):
+    df = spark.createDataFrame([(0, "é"), (1, "plain"), (2, None), (3, " 　a\u001c")], "id int, text string")
+    got = {r.id: r.text for r in sanitize(df).collect()}
+    assert got[0] == "é" and got[1] == "plain" and got[2] is None
+    assert {r.id: r.s for r in df.select("id", strip("text").alias("s")).collect()}[3] == "a"
+    assert one(spark, content_sha256(F.lit(" a\n"))) == one(spark, F.sha2(F.lit("a"), 256))
+    assert [r.x for r in df.select(nfc(F.col("text")).alias("x")).collect()][0] == "é"
+    assert [one(spark, is_blank(F.lit(x))) for x in (None, "", "  ", "a")] == [True, True, True, False]
+
+
+@pytest.mark.parametrize(
+    ("url", "wanted"),
+    [("HTTP://WWW.Ex.com:80/a/", "http://ex.com:80/a"), ("//u@h.org?q=1#f", "http://u@h.org/?q=1"), ("https://x.y/?", "https://x.y/"), ("  ", None), (None, None)],
+)
+def test_url(spark, url, wanted):
+    assert one(spark, normalize_url(F.lit(url).cast("string"))) == wanted
+
+
+def test_source_key(spark):
+    assert one(spark, source_key("id", F.lit(" 7 "))) == "id:7"
+    assert one(spark, source_key("id", F.lit(" "))) is None
+
+
+def test_training_pieces(spark):
+    assert one(spark, training_pieces(F.lit("alpha doc\n\nabc\n\n beta doc "))) == ["alpha doc", "beta doc"]
+    long = one(spark, training_pieces(F.lit("word " * 20_000)))
+    assert max(map(len, long)) <= 50_000 and "".join("".join(long).split()) == "word" * 20_000
+
+
+def test_prefix_sum_blocks(spark):
+    rows = [("a" if i % 3 else None, i * 7, i % 5 if i % 11 else None) for i in range(300)]
+    got = {r.o: r.s for r in prefix_sum(spark.createDataFrame(rows, "g string, o long, v long"), ["g"], "o", "v", "s", block=64).collect()}
+    sums = {}
+    for g, o, v in rows:
+        assert got[o] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + (v or 0)
+
+
+def greedy(rows, train_quota, val_quota, limit):
+    train, val, by, out = {}, {}, {}, {}
+    for d, lang, seq, n, in_val in sorted(rows, key=lambda r: r[2]):
+        if in_val and val.get(d, 0) < val_quota:
+            val[d] = val.get(d, 0) + n
+            out[seq] = "val"
+        elif by.get((d, lang), 0) < limit:
+            # Closed form: a language's sum counts what is offered to it, taken or not.
+            by[d, lang] = by.get((d, lang), 0) + n
+            out[seq] = "train" if train.get(d, 0) < train_quota else None
+            train[d] = train.get(d, 0) + n
+        else:
+            out[seq] = None
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_split(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice("xy"), r.choice("pqr"), i, r.randint(1, 30), r.random() < 0.2) for i in range(200)]
+    df = spark.createDataFrame(rows, "domain string, language string, seq long, n long, in_val boolean")
+    got = {x.seq: x.split for x in split.quota_split(df, F.lit(700), F.lit(90), F.lit(300)).collect()}
+    assert got == greedy(rows, 700, 90, 300)
+
+
+def test_replay_keeps_after_a_rejected_key(spark):
+    rows = [("d", i, str(i), k, 5, False, "l") for i, k in enumerate([["k1"], ["k1", "k2"], ["k2"], []])]
+    df = spark.createDataFrame(rows, "domain string, seq long, sha256 string, source_keys array<string>, n long, in_val boolean, language string")
+    got = {r.seq: r.outcome for r in dedup.replay(df, 100, 0).collect()}
+    assert got == {0: "train", 1: "duplicate_key", 2: "train", 3: "train"}
+    assert sorted(r.seq for r in dedup.first_by_every_key(df).collect()) == [0, 3]
+
+
+def test_duplicate_scope(spark):
+    df = spark.createDataFrame([("general", 0, "h"), ("math", 1, "h")], "domain string, seq long, sha256 string")
+    pairs = dedup.duplicate_pairs(dedup.mark_content_duplicates(df)).collect()
+    assert [(p.pair, p.n) for p in pairs] == [("general->math", 1)]
+    assert dedup.mark_content_duplicates(df, scope="domain").where("is_first").count() == 2
+
+
+def test_filters(spark):
+    e = lambda t, d, s, low, high: one(spark, filters.code_row_is_eligible(F.lit(t), d, F.lit(s).cast("string"), F.lit(None), F.lit("b"), low, high))
+    none, mit = F.lit(None).cast("array<string>"), F.array(F.lit("MIT"))
+    assert [e("permissive", none, 3, 4, None), e("permissive", none, 3, 3, 4), e("permissive", none, 4, 4, None), e("permissive", none, 4, 3, 4)] == [False, True, True, False]
+    assert [e("no_license", none, 3, 3, 4), e("no_license", mit, 3, 3, 4), e("permissive", none, None, 4, None), e("permissive", none, None, 3, 4), e("permissive", none, "x", 3, None)] == [False, True, True, False, False]
+    assert [one(spark, filters.tokens_are_valid(x)) for x in (F.array(F.lit(0), F.lit(65535)), F.array(F.lit(65536)), F.lit(None).cast("array<int>"), F.array(F.lit(None).cast("int")))] == [True, False, False, False]
+
+
+def test_windows_and_shards(spark, tmp_path):
+    docs = [(0, [10, 11, 12]), (1, [20, 21]), (2, [])]
+    df = spark.createDataFrame([("d", i, x + [3] if x else [], len(x) + 1 if x else 0) for i, x in docs], "domain string, seq long, ids array<int>, n long")
+    assert one(spark, with_end(F.array(F.lit(1)), 3)) == [1, 3]
+    w = packing.windows(packing.offsets(df, ["domain"]), ["domain"], 2).collect()
+    assert sorted((r.window, r.tokens) for r in w) == [(0, [10, 11, 12]), (1, [3, 20, 21])]
+    with pytest.raises(ValueError, match="no block"):
+        packing.shard_width(8, 8)
+    rows = spark.createDataFrame([("d", "train", i // 2, i, [i, 65535, 0]) for i in range(4)], "domain string, split string, shard long, nth long, tokens array<int>")
+    folder = f"file://{tmp_path}"
+    assert sorted(r.n_tokens for r in shards.export(rows, folder).collect()) == [6, 6]
+    back = sorted((r.file, r.window, r.tokens) for r in shards.read_windows(spark, folder, 2).collect())
+    assert [t for _, _, t in back] == [[0, 65535, 0], [1, 65535, 0], [2, 65535, 0], [3, 65535, 0]]
+    assert all(r.ok for r in shards.check(spark, folder).collect())
+    (tmp_path / "d-train-00000.bin").write_bytes(b"\0\0")
+    assert sorted(r.ok for r in shards.check(spark, folder).collect()) == [False, True]
+
+
+def test_spans(spark):
+    import hashlib
+    import struct
+
+    ids = [7, 300, 65535]
+    assert one(spark, spans.span_digest(F.array(*map(F.lit, ids)))) == hashlib.sha256(struct.pack("<3H", *ids)).hexdigest()
+    for stream, wanted in (([7, 8, 2, 2, 9, 2, 5], [[7, 8], [9]]), ([2], []), ([5, 6], []), ([5, 2], [[5]])):
+        assert one(spark, spans.split_spans(F.array(*map(F.lit, stream)), 2)) == wanted
+    rows = [("d", "train", "a", 0, 80), ("d", "train", "a", 1, 80), ("d", "train", "b", 2, 3), ("d", "train", "b", 3, 3), ("d", "val", "a", 4, 80), ("e", "train", "a", 5, 80)]
+    df = spark.createDataFrame(rows, "domain string, split string, digest string, ord long, n_tokens long")
+    a = {(r.domain, r.split): (r.n_docs, r.n_unique, r.collisions, r.short_collisions) for r in spans.audit(df, ["domain", "split"]).collect()}
+    assert a["d", "train"] == (4, 2, 1, 1)
+    assert [(r.domain, r.copies) for r in spans.leaks(df).collect()] == [("d", 2)]
+    assert sorted(r.ord for r in spans.repair(df).collect()) == [2, 4, 5]
+
+
+def test_conservation():
+    assert 3_154_665 == 2_279_924 + 7_504 + 867_237
+
+
+def test_mixture(spark):
+    sizes = spark.createDataFrame([("general", 0, 55, 0.55), ("math", 1, 20, 0.2), ("code", 2, 15, 0.15), ("science", 3, 10, 0.1)], "domain string, ord int, windows long, weight double")
+    runs = [sorted(tuple(r) for r in mixture.epoch_assignments(sizes, 100, 42, e).collect()) for e in (0, 0, 1)]
+    assert runs[0] == runs[1] != runs[2] and [p for p, _, _ in runs[0]] == list(range(100))
+    share = {d: sum(x[1] == d for x in runs[0]) for d in split.DOMAINS}
+    assert share == {"general": 55, "math": 20, "code": 15, "science": 10}
+    with pytest.raises(ValueError, match="unknown"):
+        mixture.check_weights({"general": 1.0, "poems": 1.0})
+
+
+def test_take_chars(spark):
+    df = spark.createDataFrame([(i, "x" * 12) for i in range(20)], "seq long, text string")
+    assert sorted(r.seq for r in mixture.take_chars(df, 30).collect()) == [0, 1, 2]
+
+
+def test_dialogues(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "Human", " a "), (1, 2, "system", "s"), (2, 0, "user", " ")], "conv_id int, turn int, role string, text string")
+    assert [tuple(r) for r in mixture.render_dialogues(df).collect()] == [(1, "User: a\nAssistant: b")]
+
+
+def test_admission(spark):
+    judged = {(r.dataset_id, r.path): r.verdict for r in catalogue._judged(spark).collect()}
+    assert judged["web", "data/a.parquet"] == "approved" and judged["c", "p.json.gz"] == "denied" and judged["m", "x.parquet"] == "unresolved" or judged["m", "x.parquet"] == "mismatch"
+    assert judged["s", "u.txt"] == "approved" and judged["m", "y.parquet"] == "approved" and judged["web", "data/c.parquet"] == "mismatch"
+    with pytest.raises(Exception, match="not approved"):
+        admission.fetchable(catalogue._judged(spark), with_lock=True).collect()
+
+
+def test_metrics(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text("\n".join([json.dumps({"kind": "val", "tokens": 5, "val_loss": 2.0}), "{broken", json.dumps({"kind": "train", "tokens": 6, "loss": 3.0})]))
+    log = scans.read_metrics(spark, str(tmp_path / "log.jsonl"))
+    assert scans.val_points(log).count() == 1 and scans.train_points(log).first()["train_loss"] == 3.0
+    points = spark.createDataFrame([("a", 1, 0.5), ("a", 3, 0.25)], "s string, x long, y double").withColumn("o", F.col("x"))
+    assert [r.x for r in metrics.nearest(points, [2], "x", "y", "s", "o").collect()] == [1]
+
+
+def test_text_table(spark, tmp_path):
+    import gzip
+
+    body = "\n".join(json.dumps({"article": f"t{i}", "id": i}) for i in range(8)).encode()
+    whole = gzip.compress(body)
+    (tmp_path / "a.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "b.csv").write_text('id,body\n1,"x, y"\n2,\n3,z\n')
+    cut = scans.text_table(spark, str(tmp_path / "a.jsonl.gz"), "d", "s", schema="article string, id long")
+    assert cut.count() < 8
+    rows = {r.native_id.rsplit(":", 1)[1]: (r.text, r.extra) for r in scans.text_table(spark, str(tmp_path / "b.csv"), "d", "s").collect()}
+    assert rows == {"0": ("x, y", {"id": "1"}), "2": ("z", {"id": "3"})}
+    assert [scans.text_column(x) for x in (["document", "text"], ["article"], ["prompt", "id"])] == ["text", "article", "prompt"]
+
+
+def test_bpe(spark):
+    t = train_bpe(["the cat sat on the mat"] * 20, 300)
+    assert [t.token_to_id(x) for x in ("<unk>", "<s>", "</s>", "<pad>")] == [0, 1, 2, 3]
+    assert round_trips(t, "the cat")
+
+
+def test_stream_is_exactly_once(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(10 * i + j, f"text {(i + j) % 4}") for j in range(4)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: ingest.ingest(ingest.documents_stream(spark, str(tmp_path / "in"), "doc_id long, text string", 1), *(str(tmp_path / x) for x in ("t", "i", "c"))).awaitTermination()
+    run()
+    run()
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [f"text {i}" for i in range(4)]
+
+
+def test_sessions(spark, sf):
+    d = ingest.sessions(spark.read.parquet(f"{sf}/events.parquet"))
+    assert d.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
