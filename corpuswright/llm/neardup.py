@@ -63,6 +63,10 @@ def counted_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, n
     return (uniq >> np.uint64(SHINGLE_BITS)).astype(np.int64), uniq & _LOW, np.diff(np.append(at, len(packed))), w, h
 
 
+def _md5(text: str | None) -> bytes:
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
 def nodes(texts: list[str | None], w: Words, h: np.ndarray) -> list[bytes]:
     """16 bytes for each text that tell its word sequence; of a text without words, its characters."""
     counts = w.counts()
@@ -75,7 +79,7 @@ def nodes(texts: list[str | None], w: Words, h: np.ndarray) -> list[bytes]:
             total = np.add.reduceat(mix(h + (place + np.uint64(1)) * np.uint64(seed)), first[some])
             out[some, j] = mix(total + counts[some].astype(np.uint64))
     raw = out.astype("<u8").tobytes()
-    return [raw[16 * i : 16 * i + 16] if counts[i] else hashlib.md5((texts[i] or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for i in range(len(texts))]
+    return [raw[16 * i : 16 * i + 16] if counts[i] else _md5(texts[i]) for i in range(len(texts))]
 
 
 def _frequent_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +175,9 @@ def samples(doc: np.ndarray, sh: np.ndarray, lnw: np.ndarray, n_docs: int, k: in
 
 
 def signatures(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node, n_bytes and the bands' keys of every row (null for a text without words)."""
+    """key, node, MD5 of the text, n_bytes and the bands' keys of every row (no keys for a text without words)."""
     src = docs.select(F.col(key), F.col(text).alias("text"))
-    schema = src.select(key, F.lit(b"").alias("node"), F.lit(0).cast("long").alias("n_bytes"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+    schema = src.select(key, F.lit(b"").alias("node"), F.lit(b"").alias("raw"), F.lit(0).cast("long").alias("n_bytes"), F.array(F.lit(0).cast("long")).alias("bands")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +189,7 @@ def signatures(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np
                     bands = mix(bands + s[:, r::ROWS] + np.uint64(r + 1))
                 some = w.counts() > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(bands[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], names=[key, "node", "n_bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], names=[key, "node", "raw", "n_bytes", "bands"])
 
     return src.mapInArrow(run, schema)
 
@@ -241,7 +245,7 @@ def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.
     unique = sig.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.col(key)).alias("id"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
     met, met_path = written(_chunks(unique).join(unique.select("node", "id"), "node"), "met")
     wanted = met.groupBy("id", "node").agg(F.collect_list(F.struct("chunk", "leads")).alias("at"))
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id").select("node", "text", F.explode("at").alias("at")).select("at.chunk", "at.leads", "node", "text")
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("node", "text", F.explode("at").alias("at")).select("at.chunk", "at.leads", "node", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(4 * n, "chunk").sortWithinPartitions("chunk", F.desc("leads"), "node")
 
@@ -290,22 +294,29 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id (the least key of its class), class_size of every row."""
-    spark = docs.sparkSession
+def _labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """key, raw (the text's MD5) and label (its class) of every row."""
     heavy = heavy_shingles(docs, text)
     sig, _ = written(signatures(docs, key, text, heavy), "signatures")
-    found = components(links(docs, sig, key, text, heavy, threshold), spark)
-    of = sig.select("node", key).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), key)
+    found = components(links(docs, sig, key, text, heavy, threshold), docs.sparkSession)
+    return sig.select("node", key, "raw").join(found, "node", "left").select(F.coalesce("label", "node").alias("label"), key, "raw")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id (the least key of its class), class_size of every row."""
+    of = _labelled(docs, key, text, threshold)
     least = of.groupBy("label").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return of.join(least, "label").select(key, "class_id", "class_size")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class: the one with the least key."""
-    first = classes(docs, key, text, threshold).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__kept")).distinct()
-    kept = docs.join(first, F.col(key).eqNullSafe(F.col("__kept")))
-    at = Window.partitionBy("__kept").orderBy(text)
+    """One row of each class: the one with the least key (null keys last), then the least MD5."""
+    of = _labelled(docs, key, text, threshold)
+    first = of.groupBy("label").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "raw")).alias("f")).select(F.col("f.key").alias("__kept"), F.col("f.raw").alias("__raw"))
+    raw = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    kept = docs.join(first, F.col(key).eqNullSafe(F.col("__kept")) & (raw == F.col("__raw")))
+    # Only rows that repeat key and text are left to choose from.
+    at = Window.partitionBy("__kept", "__raw").orderBy(F.lit(0))
     return kept.withColumn("__nth", F.row_number().over(at)).where("__nth = 1").select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ MATCH = 400
 GRAM = 64
 CONTEXTS = 2048
 #: Bytes of text hashed at once, of contexts sorted at once.
-PIECE, BLOCK = 1 << 21, 1 << 19
+PIECE, BLOCK = 1 << 19, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 24) - 1)
 #: Stands between contexts; no byte of UTF-8.
@@ -223,7 +223,7 @@ def _occurrences(match: int):
                 last.append(at + len(part) - match)
                 parts.append(part)
                 at += len(part)
-            doc, x0, count, anchor, context = runs(np.frombuffer(b"".join(parts), np.uint8), np.array(first, np.int64), np.array(last, np.int64))
+            doc, x0, count, anchor, context = runs(np.frombuffer(b"".join(parts), np.uint8), np.array(first, np.int64), np.array(last, np.int64), match)
             found.append(([pending[i][0] for i in doc.tolist()], x0 - np.array(first, np.int64)[doc] + np.array([p[2] for p in pending], np.int64)[doc], count, anchor, context))
             pending.clear()
 
@@ -257,7 +257,8 @@ def _occurrences(match: int):
 
 def _with_text(rows: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """rows (id, name, at) with the text of that id."""
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0).join(rows, "id").select("name", "text", "at")
+    own = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    return own.join(rows, F.col("__id").eqNullSafe(F.col("id"))).select("name", "text", "at")
 
 
 def _contexts(match: int):
