@@ -453,9 +453,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
     """The documents, with all their columns, less the characters that lie wholly in repeated bytes; a text that loses all of them goes."""
     marks = repeated_marks(docs, key, text, match)
-    of = named(docs, key, text).select("id", "name").distinct().join(marks, "name").withColumnRenamed("name", "__name")
+    of = named(docs, key, text).select("id", "name").distinct().join(marks, "name").withColumnsRenamed({"id": "__id", "name": "__name", "at": "__at"})
     data = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
-    rows = docs.join(of, F.col(key).eqNullSafe(of["id"]) & (data == F.col("__name")), "left").select(*docs.columns, F.col("at").alias("__at"))
+    rows = docs.join(of, F.col(key).eqNullSafe(F.col("__id")) & (data == F.col("__name")), "left").select(*docs.columns, "__at")
     names, at_column = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
