@@ -74,3 +74,15 @@ def train_bpe(pieces: list[str], vocabulary: int = 32_000, least: int = 1):
 def round_trips(tokenizer, text: str) -> bool:
     """Does decoding give the text again, spaces aside?"""
     return "".join(tokenizer.decode(tokenizer.encode(text).ids).split(" ")) == "".join(text.split(" "))
+
+
+def decoded_samples(windows: DataFrame, path: str, tokens: int = 256, chars: int = 800) -> DataFrame:
+    """file, sample: the text of the first tokens of each file's first window."""
+    first = windows.where("window = 0").select("file", F.slice("tokens", 1, tokens).alias("ids"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = _load(path)
+        for pdf in frames:
+            yield pd.DataFrame({"file": pdf["file"], "sample": [tokenizer.decode(list(x))[:chars] for x in pdf["ids"]]})
+
+    return first.mapInPandas(run, "file string, sample string")

@@ -126,3 +126,24 @@ def synthetic(spark: SparkSession, domain: str, n: int, seed: int = 0) -> DataFr
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), pick), " ")
     name = F.concat(F.lit(f"synthetic:{domain}:"), F.col("id").cast("string"))
     return spark.range(n).select(F.lit(domain).alias("domain"), F.lit("synthetic").alias("dataset_id"), name.alias("native_id"), F.concat(F.lit(f"{domain} document "), F.col("id").cast("string"), F.lit(": "), body).alias("text"), F.array(F.concat(F.lit("id:"), name)).alias("source_keys"), F.col("id").alias("seq"))
+
+
+def resume_cursor(state: dict | None, n_sources: int) -> tuple[int, int]:
+    """(source to start at, rows to skip in it) from a domain's saved counters.
+
+    A first source whose rows are four fifths duplicates by now is used up: the next one begins, if there is one.
+    """
+    s = {k: int(v or 0) for k, v in (state or {}).items()}
+    if s.get("start_source", 0) >= 1:
+        return s["start_source"], s.get("source_stream_index", 0)
+    inspected = s.get("docs_inspected", 0)
+    used_up = s.get("tokens_train", 0) > 0 and inspected >= 1000 and s.get("docs_duplicate", 0) >= 0.8 * inspected
+    return (1, 0) if used_up and n_sources > 1 else (0, s.get("stream_index", 0))
+
+
+def marker_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose name or text holds a denied marker."""
+    from corpuswright.operators.filters import hits_denied_marker
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.where(hits_denied_marker(F.col("path"), F.decode("content", "ISO-8859-1"))).select("path")

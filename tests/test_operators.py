@@ -211,3 +211,25 @@ def test_stream_is_exactly_once(spark, tmp_path):
 def test_sessions(spark, sf):
     d = ingest.sessions(spark.read.parquet(f"{sf}/events.parquet"))
     assert d.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_resume_cursor():
+    assert scans.resume_cursor({"tokens_train": 194_445_575, "docs_inspected": 7_707_881, "docs_duplicate": 7_520_775}, 2) == (1, 0)
+    assert scans.resume_cursor({"tokens_train": 1000, "stream_index": 2000, "docs_inspected": 2000, "docs_duplicate": 10}, 2) == (0, 2000)
+    assert scans.resume_cursor(None, 2) == (0, 0) and scans.resume_cursor({"start_source": 1, "source_stream_index": 7}, 2) == (1, 7)
+
+
+def test_marker_scan(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"path": "data\\\\CC-MAIN-2024-38\\\\000_00041.parquet"}'.replace("\\\\", "/"))
+    (tmp_path / "b.json").write_text("{}")
+    assert [r.path.rsplit("/", 1)[1] for r in scans.marker_hits(spark, str(tmp_path)).collect()] == ["a.json"]
+
+
+def test_decoded_samples(spark):
+    import public_tokenizers
+
+    from corpuswright.operators.tokens import decoded_samples, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = encode(spark.createDataFrame([("f", 0, "Hello small world")], "file string, window int, text string"), path)
+    assert decoded_samples(docs.withColumnRenamed("ids", "tokens"), path).first()["sample"] == "Hello small world"
