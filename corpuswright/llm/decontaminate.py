@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.llm.store import lean
 from corpuswright.llm.words import Words, mix, pieces, shingles
 
 SHINGLE = 5
@@ -158,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     columns = [b.column(key).take(pa.array([i + f[0] for f in found], pa.int64())), pa.array([keys[f[1]] for f in found], pa.int64() if isinstance(keys[0], int) else None)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[3] / f[2] for f in found], pa.float64())], names=schema.names)
 
-        part = src.mapInArrow(run, schema)
+        part = src.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -176,7 +177,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
                     clean[[i + f[0] for f in items.search(own, threshold)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

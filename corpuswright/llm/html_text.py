@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuswright.llm.store import written
+from corpuswright.llm.store import lean, written
 
 PAGES = 5
 IMPORTANCE = 0.3
@@ -272,7 +272,7 @@ def _noise_of(tree: pd.DataFrame) -> pd.DataFrame:
 
 def noise_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, paths: the noise of every host that has some."""
-    shown = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_shown, _SHOWN)
+    shown = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(lean(_shown), _SHOWN)
     sums = shown.groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("pages").alias("c"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     nodes = sums.groupBy("host", "path").agg(F.min("parent").alias("parent"), of(0, F.col("c")).alias("pages"), of(1, F.col("c")).alias("styles"), of(1, F.col("c") * F.ln("c")).alias("styles_ln"), F.avg(F.when(F.col("kind") == 2, F.ln("c"))).alias("mean_ln"))
@@ -300,7 +300,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
             texts = [Page(h or "").text(frozenset(p or ())) for h, p in zip(b.column("__html").to_pylist(), b.column("paths").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

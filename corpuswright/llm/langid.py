@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.llm.store import lean
 from corpuswright.llm.words import Words, _char_hash, mix, pieces
 
 CHAIN = 64
@@ -238,7 +239,7 @@ def predict(docs: DataFrame, m: Model | None, text: str = "text", keep: tuple[st
                 found, score = _documents(m, texts)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def keep_known(docs: DataFrame, m: Model | None, text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
@@ -252,7 +253,7 @@ def keep_known(docs: DataFrame, m: Model | None, text: str = "text", lang: str =
                 columns = [pa.array(found, pa.string()) if n == at else c.slice(i, j - i) for n, c in enumerate(b.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(found, score, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def spans(docs: DataFrame, m: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -274,7 +275,7 @@ def spans(docs: DataFrame, m: Model | None, text: str = "text", key: str = "doc_
                 e = np.append(s[1:], len(best)) - 1
                 yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i).take(pa.array(w.doc[s])), pa.array(at[s]), pa.array(at[e]), pa.array(e - s + 1), pa.array([m.langs[x] for x in best[s]], pa.string())], names=[key, "from", "to", "n_words", "lang"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def held_out() -> Column:

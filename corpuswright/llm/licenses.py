@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.llm.store import lean
 from corpuswright.llm.words import Words, mix, pieces
 
 THRESHOLD = 0.8
@@ -169,7 +170,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
                     names=schema.names,
                 )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

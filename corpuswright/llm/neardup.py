@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuswright.llm.store import drop, free_shuffles, written
+from corpuswright.llm.store import drop, free_shuffles, lean, written
 from corpuswright.llm.words import Words, mix, pieces, shingles
 
 SHINGLE = 5
@@ -109,7 +109,7 @@ def _frequent_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, ln of idf weight) of all shingles in at least HEAVY of the documents, sorted."""
     src = docs.select(F.col(text).alias("text"))
-    found, path = written(src.mapInArrow(_frequent_blocks, "shingle long, docs long"), "frequent")
+    found, path = written(src.mapInArrow(lean(_frequent_blocks), "shingle long, docs long"), "frequent")
     n = found.agg(F.sum("docs")).first()[0] or 0
     named = np.sort(np.array([r[0] for r in found.where("shingle is not null").select("shingle").distinct().toLocalIterator()], np.int64)).astype(np.uint64)
     drop(docs.sparkSession, path)
@@ -127,7 +127,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
 
-        rows = src.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY * n).collect()
+        rows = src.mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY * n).collect()
         rows.sort()
         sh.append(block[[r[0] for r in rows]] if rows else np.zeros(0, np.uint64))
         df.append(np.array([r[1] for r in rows], np.int64))
@@ -191,7 +191,7 @@ def signatures(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(bands[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], names=[key, "node", "raw", "n_bytes", "bands"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.
         if len(held) > 1:
             yield close()
 
-    found, _ = written(rows.mapInArrow(run, "a binary, b binary").distinct(), "links")
+    found, _ = written(rows.mapInArrow(lean(run), "a binary, b binary").distinct(), "links")
     drop(docs.sparkSession, met_path)
     del rows, met
     free_shuffles(docs.sparkSession)

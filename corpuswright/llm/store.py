@@ -33,9 +33,12 @@ def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    where = _path(spark, path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop(spark: SparkSession, pattern: str) -> None:
+    """Delete the files and folders that match."""
+    where = _path(spark, pattern)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(where) or []:
+        fs.delete(found.getPath(), True)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
@@ -72,3 +75,40 @@ def replace_file(uri: str, data_writer) -> None:
     with system.open_output_stream(part) as out:
         data_writer(out)
     system.move(part, path)
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def lean(run):
+    """A mapInArrow function that gives memory back when its task ends, on small batches.
+
+    Python workers live on between tasks and allocators keep what is freed;
+    the session's batch size is lowered to BATCH_ROWS if it is larger.
+    """
+    session = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session and not 0 < int(session.conf.get(name)) <= BATCH_ROWS:
+        session.conf.set(name, BATCH_ROWS)
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

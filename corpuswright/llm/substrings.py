@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuswright.llm.store import drop, free_shuffles, written
+from corpuswright.llm.store import drop, free_shuffles, lean, written
 from corpuswright.llm.words import mix
 
 MATCH = 400
@@ -403,7 +403,7 @@ def repeated_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", mat
     """name (MD5 of the text's bytes), at: where its runs begin and, as bits, which strings from there on repeat. A row for each text that loses bytes, in a written table."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(_occurrences(match), "name binary, x0 long, starts long, anchor long, context long, copies long"), "runs")
+    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(lean(_occurrences(match)), "name binary, x0 long, starts long, anchor long, context long, copies long"), "runs")
     contexts = where.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("name", "x0")).alias("e"), F.first("starts").alias("starts"))
     several = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
     wanted = contexts.join(several, "anchor").select("anchor", "context", F.col("e.name").alias("name"), F.col("e.x0").alias("x0"), (F.col("n") > 1).alias("twice"), "starts", (F.col("different") > CONTEXTS).alias("hot"))
@@ -412,14 +412,14 @@ def repeated_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", mat
 
     def fetched(hot: bool) -> DataFrame:
         rows = wanted.where(F.col("hot") == F.lit(hot)).groupBy("id", "name").agg(F.collect_list(F.struct("anchor", "context", "twice", "x0", "starts")).alias("at"))
-        return _with_text(rows, docs, key, text).mapInArrow(_contexts(match), _CONTEXT)
+        return _with_text(rows, docs, key, text).mapInArrow(lean(_contexts(match)), _CONTEXT)
 
-    found, found_path = written(fetched(False).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(match), _VERDICT), "verdicts")
+    found, found_path = written(fetched(False).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_sorted_blocks(match)), _VERDICT), "verdicts")
     paths = [where_path, wanted_path, found_path]
     if wanted.where("hot").limit(1).count():
         free_shuffles(spark)
-        keys = fetched(True).mapInArrow(_hot_keys(parts, match), "part long, keys binary, ids binary, nth binary")
-        more, more_path = written(keys.repartition(parts, "part").mapInArrow(_hot_counts, _VERDICT), "verdicts")
+        keys = fetched(True).mapInArrow(lean(_hot_keys(parts, match)), "part long, keys binary, ids binary, nth binary")
+        more, more_path = written(keys.repartition(parts, "part").mapInArrow(lean(_hot_counts), _VERDICT), "verdicts")
         found, paths = found.unionByName(more), [*paths, more_path]
     free_shuffles(spark)
     out, _ = written(where.join(found, ["anchor", "context"]).groupBy("name").agg(F.collect_set(F.struct("x0", "repeated")).alias("at")), "marks")
@@ -443,7 +443,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int
     """key, name, n_bytes, n_removed, n_spans, kept_sha256, from and to (the removed runs) of every row."""
     marks = repeated_marks(docs, key, text, match)
     # Copies lose the same bytes: one of them is read, and the others take over its result.
-    spans, _ = written(_with_text(marks.join(_first(docs, key, text), "name"), docs, key, text).mapInArrow(_spans(match), "name binary, from array<long>, to array<long>, kept_sha256 string").dropDuplicates(["name"]), "spans")
+    spans, _ = written(_with_text(marks.join(_first(docs, key, text), "name"), docs, key, text).mapInArrow(lean(_spans(match)), "name binary, from array<long>, to array<long>, kept_sha256 string").dropDuplicates(["name"]), "spans")
     free_shuffles(docs.sparkSession)
     rows = named(docs, key, text).join(spans, "name", "left")
     length = F.aggregate(F.zip_with("to", "from", lambda z, a: z - a), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -481,7 +481,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
             columns = [pa.array(texts, pa.string()) if i == at_column else b.column(c) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

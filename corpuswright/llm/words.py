@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 POINTS = 0x110000
 #: Code points handled at once; a longer text is a piece of its own, so memory follows the longest text.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
