@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuswright.llm.store import written
-from corpuswright.llm.tokens import default_path, encoder
+from corpuswright.llm.store import lean, written
+from corpuswright.llm.tokens import default_path, encoder, forget
 from corpuswright.llm.words import pieces as text_pieces
 
 LENGTH = 2048
@@ -110,8 +110,9 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
                             ids.append(part)
                 columns = [b.column(key).take(pa.array(at, pa.int64())), pa.array([s // length for s in start], pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
+        forget(path)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -136,7 +137,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFr
             ids = np.array(where, np.int64) * shards + int(shard[a])
             yield from own.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64())).to_batches()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswright.llm.store import file_system, new_dir, qualified, replace_file, written
-from corpuswright.llm.tokens import default_path, encoder
+from corpuswright.llm.store import file_system, lean, new_dir, qualified, replace_file, written
+from corpuswright.llm.tokens import default_path, encoder, forget
 from corpuswright.llm.words import mix
 
 END = 2
@@ -55,30 +55,40 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seeds, slot = np.zeros(buckets, np.int32), np.zeros(n, np.int64)
     h = mix(keys.astype(np.int64).view(np.uint64))
     of = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
     size = np.bincount(of, minlength=buckets)
-    first = np.cumsum(size) - size
+    order = np.lexsort((of, -size[of]))  # the largest buckets first, each together
     taken = np.zeros(n, np.bool_)
-    for b in np.argsort(-size, kind="stable").tolist():
-        if size[b] < 2:
-            break
-        own = order[first[b] : first[b] + size[b]]
-        seed = 0
-        while True:
-            tries = np.arange(seed, seed + 64)
-            at = _slots(h[own][None, :], tries[:, None], n)
-            sorted_at = np.sort(at, 1)
-            good = ~taken[at].any(1) & (np.diff(sorted_at, axis=1) > 0).all(1)
+    for many in range(int(size.max(initial=0)), 1, -1):
+        left, seed = order[size[of[order]] == many], 0
+        while len(left) > 64 * many and seed < 64:
+            # One seed for all buckets of this size: those whose slots are free, and not asked for by an earlier one, have found theirs.
+            at = _slots(h[left], np.full(1, seed), n)
+            first = np.zeros(len(left), np.bool_)
+            first[np.unique(at, return_index=True)[1]] = True
+            good = (first & ~taken[at]).reshape(-1, many).all(1)
             if good.any():
+                done = np.repeat(good, many)
+                seeds[of[left[done]]] = seed
+                slot[left[done]] = at[done]
+                taken[at[done]] = True
+                left = left[~done]
+            seed += 1
+        for own in left.reshape(-1, many):
+            tries, good = np.arange(64), np.zeros(1, np.bool_)
+            while not good.any():
+                # Many seeds for one bucket.
+                at = _slots(h[own][None, :], tries[:, None], n)
+                good = ~taken[at].any(1) & (np.diff(np.sort(at, 1), axis=1) > 0).all(1)
                 k = int(good.argmax())
-                seeds[b], slot[own] = tries[k], at[k]
-                taken[at[k]] = True
-                break
-            seed += 64
+                if not good[k]:
+                    tries = np.arange(tries[-1] + 1, tries[-1] + 1025)
+            seeds[of[own[0]]], slot[own] = tries[k], at[k]
+            taken[at[k]] = True
     single = np.flatnonzero(size == 1)
     free = np.flatnonzero(~taken)[: len(single)]
     seeds[single] = -free - 1
-    slot[order[first[single]]] = free
+    lone = np.flatnonzero(size[of] == 1)
+    slot[lone[np.argsort(of[lone])]] = free
     return seeds, slot
 
 
@@ -155,6 +165,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
                     out.write(np.frombuffer(data, "<u4").astype("<u2").tobytes() if narrow else data)
 
         replace_file(f"{folder}/ids-{shard}.bin", ids)
+        forget(path)
         if not sizes:
             return
         own = np.concatenate(keys)
@@ -162,7 +173,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         replace_file(f"{folder}/ids-{shard}.mph", lambda out: out.write(index_bytes(own, starts, 2 if narrow else 4)))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(own), int(starts[-1]), int(own[0]), int(own[-1]))], names=["shard", "n_docs", "n_tokens", "first_key", "last_key"])
 
-    return written(ranged.mapInArrow(run, "shard long, n_docs long, n_tokens long, first_key long, last_key long"), "shards")[0]
+    return written(ranged.mapInArrow(lean(run), "shard long, n_docs long, n_tokens long, first_key long, last_key long"), "shards")[0]
 
 
 def read(keys: DataFrame, shards: DataFrame, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -218,7 +229,7 @@ def read(keys: DataFrame, shards: DataFrame, folder: str, key: str = "doc_id", w
             columns = [b.column(key).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j] for r in rows], pa.int64()) for j in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array([r[4] for r in rows], pa.binary())] * with_ids, names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
