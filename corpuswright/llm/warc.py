@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpuswright.llm.store import file_system, new_dir, qualified, replace_file, written
+from corpuswright.llm.store import file_system, free_shuffles, lean, new_dir, qualified, replace_file, written
 
 REVISIT_BYTES = 100
 LEVEL = 6
 CHUNK = 1 << 20
+NULL_KEY = (1 << 63) - 1
 URN = "urn:corpuswright:page:"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -96,17 +96,15 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the archives; a stored table of their numbers and record counts."""
     data = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    slim = pages.select(F.col(key).alias("k"), F.sha2(data, 256).alias("digest"), F.octet_length(data).alias("n")).where(F.col("n") >= REVISIT_BYTES)
-    shared = slim.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first")
-    of = slim.join(shared, "digest").groupBy("k", "digest").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("same")).withColumnsRenamed({"k": "k2", "digest": "digest2"})
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.sha2(data, 256).alias("digest"))
-    rows = rows.join(of, F.col("k").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("digest2")), "left")
-    leads = F.col("k").eqNullSafe(F.col("first"))
-    tied = F.coalesce(leads & (F.col("same") > 1), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("k", "digest").orderBy("url"))
-    # Only rows with equal keys and payloads need to meet for one of them to be the response.
-    rows = rows.where(~tied).withColumn("nth", F.lit(1)).unionByName(rows.where(tied).withColumn("nth", nth))
-    rows = rows.select("k", "url", "html", "digest", "first", (F.col("digest2").isNotNull() & (~leads | (F.col("nth") > 1))).alias("revisit")).sortWithinPartitions(F.col("k").asc_nulls_last(), "digest", "url")
+    # A null key is the greatest.
+    k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
+    slim = pages.select(k.alias("k2"), F.sha2(data, 256).alias("digest2"), F.octet_length(data).alias("n")).where(F.col("n") >= REVISIT_BYTES)
+    shared = slim.groupBy("digest2").agg(F.min("k2").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest2", "first")
+    of = slim.join(shared, "digest2").select("k2", "digest2", "first").distinct()
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select(k.alias("k"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.sha2(data, 256).alias("digest")).repartition(n, "k", "digest")
+    # Rows with equal keys and payloads stand together in one task, so that the first of them can be told.
+    rows = rows.join(of, (F.col("k") == F.col("k2")) & (F.col("digest") == F.col("digest2")), "left").select("k", "url", "html", "digest", "first").sortWithinPartitions("k", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, count = TaskContext.get().partitionId(), 0
@@ -114,8 +112,12 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         def archive(out) -> None:
             nonlocal count
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            before = None
             for b in batches:
-                for k, u, h, digest, first, revisit in zip(*(b.column(c).to_pylist() for c in ("k", "url", "html", "digest", "first", "revisit")), strict=True):
+                for k, u, h, digest, first in zip(*(b.column(c).to_pylist() for c in ("k", "url", "html", "digest", "first")), strict=True):
+                    revisit = first is not None and (k != first or before == (k, digest))
+                    before = (k, digest)
+                    k, first = (None if x == NULL_KEY else x for x in (k, first))
                     out.write(z.compress(record(k, u, h.encode("utf-8", "surrogatepass"), digest, first if revisit else None, revisit)))
                     count += 1
             out.write(z.flush())
@@ -123,18 +125,26 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         replace_file(f"{folder}/crawl-{shard}.warc.gz", archive)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([count], pa.int64())], names=["archive", "records"])
 
-    return written(rows.mapInArrow(run, "archive long, records long"), "archives")[0]
+    return written(rows.mapInArrow(lean(run), "archive long, records long"), "archives")[0]
 
 
-def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite ``crawl-N.warc.gz`` as ``pages-N.warc.gz``, a member a record, with ``pages-N.idx``; a stored table of numbers and counts."""
+def normalise(archives: DataFrame, folder: str, keep_monolithic: bool = False) -> DataFrame:
+    """Rewrite ``crawl-N.warc.gz`` as ``pages-N.warc.gz``, a member a record, with ``pages-N.idx``; a stored table of numbers and counts. An old file goes once its new ones are in place."""
     spark = archives.sparkSession
+    free_shuffles(spark)  # of the pages, which write() dealt out
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, expected in zip(b.column("archive").to_pylist(), b.column("records").to_pylist(), strict=True):
                 index: list[str] = []
+                system, old = file_system(f"{folder}/crawl-{shard}.warc.gz")
+                if system.get_file_info(old).type.name == "NotFound":
+                    # Rewritten by an attempt whose answer was lost.
+                    with system.open_input_stream(old.replace("crawl-", "pages-").removesuffix("warc.gz") + "idx") as f:
+                        found = f.read().count(b"\n")
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([found], pa.int64())], names=["archive", "records"])
+                    continue
 
                 def members(out, shard=shard, index=index) -> None:
                     system, path = file_system(f"{folder}/crawl-{shard}.warc.gz")
@@ -151,9 +161,11 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 if len(index) != expected:
                     raise ValueError(f"archive {shard}: {len(index)} records, {expected} written")
                 replace_file(f"{folder}/pages-{shard}.idx", lambda out, index=index: out.write("".join(index).encode()))
+                if not keep_monolithic:
+                    system.delete_file(old)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(index)], pa.int64())], names=["archive", "records"])
 
-    return written(archives.repartition(n, "archive").mapInArrow(run, "archive long, records long"), "normalised")[0]
+    return written(archives.repartition(n, "archive").mapInArrow(lean(run), "archive long, records long"), "normalised")[0]
 
 
 _ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -194,7 +206,7 @@ def read(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFr
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
 
-    return archives.repartition(n, "archive").mapInArrow(run, _ROW + ", url string, payload binary" * with_payload)
+    return archives.repartition(n, "archive").mapInArrow(lean(run), _ROW + ", url string, payload binary" * with_payload)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
