@@ -13,8 +13,11 @@ weighted Jaccard similarity J agrees on some band with probability
 1 - (1 - J ** ROWS) ** BANDS, 0.99996 at 0.8.  Nodes that share a band's key
 meet in chunks of bounded size, each with the key's most connected node, and
 those not yet linked in the chunk are compared by exact weighted Jaccard
-similarity; links of at least ``THRESHOLD`` join classes.  Whole classes come
-from iterated minimum labels, all in tables.
+similarity; links of at least ``THRESHOLD`` join classes.  Where a key took
+several chunks, its nodes that are not in one class yet then meet two parts at a
+time, so that every pair that shares a key is compared or is in one class.
+Pairs whose total weights rule the similarity out don't meet.  Whole classes
+come from iterated minimum labels, all in tables.
 
 Defined results: null text is empty text; texts without words are equal if
 their characters are; texts of fewer than five words have one shingle; rows
@@ -25,11 +28,12 @@ an empty table has no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -175,48 +179,93 @@ def samples(doc: np.ndarray, sh: np.ndarray, lnw: np.ndarray, n_docs: int, k: in
 
 
 def signatures(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node, MD5 of the text, n_bytes and the bands' keys of every row (no keys for a text without words)."""
+    """key, node, MD5 of the text, n_bytes, total weight and the bands' keys of every row (no keys for a text without words)."""
     src = docs.select(F.col(key), F.col(text).alias("text"))
-    schema = src.select(key, F.lit(b"").alias("node"), F.lit(b"").alias("raw"), F.lit(0).cast("long").alias("n_bytes"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+    schema = src.select(key, F.lit(b"").alias("node"), F.lit(b"").alias("raw"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("total"), F.array(F.lit(0).cast("long")).alias("bands")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, texts in pieces(b):
                 doc, sh, count, w, h = counted_shingles(texts)
-                s = samples(doc, sh, log_weights(sh, count, heavy), len(texts), BANDS * ROWS)
+                lnw = log_weights(sh, count, heavy)
+                s = samples(doc, sh, lnw, len(texts), BANDS * ROWS)
+                total = np.bincount(doc, np.exp(lnw.astype(np.float64)), len(texts))
                 bands = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands + s[:, r::ROWS] + np.uint64(r + 1))
                 some = w.counts() > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(bands[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), lists], names=[key, "node", "raw", "n_bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(total, pa.float64()), lists], names=[key, "node", "raw", "n_bytes", "total", "bands"])
 
     return src.mapInArrow(lean(run), schema)
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """(chunk, node, leads): which nodes meet where.  rows: node, n_bytes, bands of every node with words."""
-    at = rows.select("node", "n_bytes", F.posexplode("bands").alias("band", "bkey"))
+def _parts(n: Column, size: Column, share: int = 1) -> Column:
+    """Chunks for so many rows and bytes; share: by how many parts a chunk is filled."""
+    return F.greatest(F.ceil(n * share / CHUNK_ROWS), F.ceil(size * share / CHUNK_BYTES)).cast("int")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """The nodes of every key that two nodes share.  rows: node, n_bytes, total, bands of every node with words."""
+    at = rows.select("node", "n_bytes", "total", F.posexplode("bands").alias("band", "bkey"))
     buckets = at.groupBy("band", "bkey").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("n > 1")
     # Bands in which the very same nodes meet need one meeting.
-    buckets = buckets.groupBy("n", "bytes", "who").agg(F.min(F.struct("band", "bkey")).alias("b"), F.count(F.lit(1)).alias("times")).select("b.band", "b.bkey", "n", "bytes", "times")
-    members = at.join(buckets, ["band", "bkey"])
+    buckets = buckets.groupBy("n", "bytes", "who").agg(F.min(F.struct("band", "bkey")).alias("b"), F.count(F.lit(1)).alias("times")).select("b.band", "b.bkey", "n", "times", _parts(F.col("n"), F.col("bytes")).alias("chunks"))
+    return at.join(buckets, ["band", "bkey"])
+
+
+def _chunks(members: DataFrame) -> DataFrame:
+    """(chunk, node, leads, side, label, band): which nodes meet where at first."""
     weight = members.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
-    members = members.join(weight, "node").withColumn("chunks", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int"))
+    members = members.join(weight, "node")
     leaders = members.groupBy("band", "bkey").agg(F.max(F.struct("weight", "node")).alias("lead"), F.first("chunks").alias("chunks")).select("band", "bkey", F.col("lead.node").alias("lead"), "chunks")
     spread = leaders.select("band", "bkey", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("lead").alias("node"), F.lit(True).alias("leads"))
     rest = members.join(leaders.select("band", "bkey", "lead"), ["band", "bkey"]).where("node <> lead")
     rest = rest.select("band", "bkey", F.pmod(F.xxhash64("node", "band"), F.col("chunks")).cast("int").alias("part"), "node", F.lit(False).alias("leads"))
-    return spread.unionByName(rest).select(F.xxhash64("band", "bkey", "part").alias("chunk"), "node", "leads")
-
-
-def _linked(texts: list[str], own: list[bytes], heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[bytes, bytes]]:
-    """Links that join the texts of a chunk: each pair not joined already is compared; the first text leads."""
+    return spread.unionByName(rest).select(F.xxhash64("band", "bkey", "part").alias("chunk"), "node", "leads", F.lit(0).alias("side"), F.col("node").alias("label"), F.lit(0).alias("band"))
+
+
+def _rest(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(chunk, node, leads, side, label, band): where nodes of a key in several chunks meet that are not in one class yet.
+
+    A key's nodes are dealt by total weight, in steps that similar nodes differ
+    in by one at most, and by class; a class that fills several parts has them
+    to itself.  Two parts meet in a chunk, or one alone; parts of the same class don't.
+    """
+    step = 1.001 * max(-math.log(threshold), 1e-6)
+    key, cell = ["band", "bkey"], ["band", "bkey", "size", "label"]
+    m = members.join(labels, "node", "left").select(*key, "node", "n_bytes", F.coalesce("label", "node").alias("label"), F.floor(F.log("total") / step).alias("size"))
+    m = m.join(m.groupBy(*key).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*key), key)
+    cells = m.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")).withColumn("own", _parts(F.col("n"), F.col("bytes"), 2))
+    shared = cells.where("own = 1").groupBy(*key, "size").agg(_parts(F.sum("n"), F.sum("bytes"), 2).alias("shared"))
+    cells = cells.join(shared, [*key, "size"], "left").select(*cell, "own", "shared")
+    alone = F.col("own") > 1
+    m = m.join(cells, cell).withColumn("class", F.when(alone, F.col("label")).otherwise(F.lit(b""))).withColumn("part", F.when(alone, F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("label"), "shared")))
+    m = m.withColumn("place", F.xxhash64(*key, "size", "class", "part"))
+    parts = m.select(*key, "size", "class", "place").distinct()
+    other = parts.select(*key, F.col("size").alias("near"), F.col("class").alias("other_class"), F.col("place").alias("other"))
+    pairs = parts.withColumn("near", F.explode(F.array("size", F.col("size") + 1))).join(other, [*key, "near"])
+    pairs = pairs.where("(near > size or place <= other) and (class = X'' or class <> other_class)").select("place", "other", F.xxhash64("place", "other").alias("chunk"))
+    sides = pairs.select("chunk", "place", F.lit(0).alias("side")).unionByName(pairs.where("place <> other").select("chunk", F.col("other").alias("place"), F.lit(1).alias("side")))
+    return m.join(sides, "place").select("chunk", "node", F.lit(False).alias("leads"), "side", "label", "band")
+
+
+def _linked(texts: list[str], at: list[tuple], heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the texts of a chunk; the first text leads.  at: node, side, label, band and bands' keys of each.
+
+    Each pair not joined already is compared, but pairs of one class, those that
+    share an earlier band's key and, if there are two sides, those of one side.
+    """
     doc, sh, count, *_ = counted_shingles(texts)
     weight = np.exp(log_weights(sh, count, heavy).astype(np.float64))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     vectors = [(sh[a:b], weight[a:b], weight[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    root = list(range(len(texts)))
+    totals = np.array([v[2] for v in vectors])
+    own, sides, labels, bands, keys = zip(*at, strict=True)
+    sides, keys = np.array(sides), np.array(keys, np.int64)[:, : bands[0]]
+    first: dict[bytes, int] = {}
+    root = [first.setdefault(x, i) for i, x in enumerate(labels)]
+    two = sides.min() != sides.max()
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -227,38 +276,42 @@ def _linked(texts: list[str], own: list[bytes], heavy: tuple[np.ndarray, np.ndar
     links = []
     for i in range(len(texts)):
         a, wa, sa = vectors[i]
-        for j in range(i + 1, len(texts)):
-            b, wb, sb = vectors[j]
-            if min(sa, sb) < threshold * max(sa, sb) - 1e-9 or top(i) == top(j):
+        rest = totals[i + 1 :]
+        wanted = np.minimum(sa, rest) >= threshold * np.maximum(sa, rest) - 1e-9
+        if two:
+            wanted &= sides[i + 1 :] != sides[i]
+        wanted &= ~(keys[i + 1 :] == keys[i]).any(axis=1)
+        for j in (np.flatnonzero(wanted) + i + 1).tolist():
+            if top(i) == top(j):
                 continue
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = b[at] == a
-            common = np.minimum(wa[both], wb[at[both]]).sum()
+            b, wb, sb = vectors[j]
+            at_b = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            both = b[at_b] == a
+            common = np.minimum(wa[both], wb[at_b[both]]).sum()
             if common >= threshold * (sa + sb - common) - 1e-9:
                 root[top(j)] = top(i)
                 links.append((own[i], own[j]))
     return links
 
 
-def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of nodes (a, b) that join all nodes with verified similarity; within a chunk, a spanning set of them."""
-    unique = sig.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.col(key)).alias("id"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
-    met, met_path = written(_chunks(unique).join(unique.select("node", "id"), "node"), "met")
-    wanted = met.groupBy("id", "node").agg(F.collect_list(F.struct("chunk", "leads")).alias("at"))
-    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("node", "text", F.explode("at").alias("at")).select("at.chunk", "at.leads", "node", "text")
+def _compared(docs: DataFrame, unique: DataFrame, chunks: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """The links (a, b) found in chunks, in a written table."""
+    met, met_path = written(chunks.join(unique.select("node", "id"), "node"), "met")
+    wanted = met.groupBy("id", "node").agg(F.collect_list(F.struct("chunk", "leads", "side", "label", "band")).alias("at")).join(unique.select("node", "bands"), "node")
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("node", "bands", "text", F.explode("at").alias("at")).select("at.*", "bands", "node", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(4 * n, "chunk").sortWithinPartitions("chunk", F.desc("leads"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, str] = {}
+        held: dict[bytes, tuple[str, tuple]] = {}
         now = None
 
         def close() -> pa.RecordBatch:
-            found = _linked(list(held.values()), list(held), heavy, threshold)
+            found = _linked([t for t, _ in held.values()], [x for _, x in held.values()], heavy, threshold)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-        for b in batches:
-            for chunk, node, text in zip(b.column("chunk").to_pylist(), b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for batch in batches:
+            for chunk, node, text, *at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "node", "text", "side", "label", "band", "bands")), strict=True):
                 if chunk != now:
                     if len(held) > 1:
                         yield close()
@@ -266,7 +319,7 @@ def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.
                 if node not in held:
                     w = Words([text])
                     if nodes([text], w, w.hashes())[0] == node:  # not another row with the same id
-                        held[node] = text
+                        held[node] = (text, (node, *at))
         if len(held) > 1:
             yield close()
 
@@ -277,6 +330,19 @@ def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.
     return found
 
 
+def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of nodes (a, b) that join all nodes with verified similarity; within a chunk, a spanning set of them."""
+    unique = sig.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.col(key)).alias("id"), F.max("n_bytes").alias("n_bytes"), F.max("total").alias("total"), F.first("bands").alias("bands"))
+    members, path = written(_members(unique), "members")
+    found = _compared(docs, unique, _chunks(members), key, text, heavy, threshold)
+    split = members.where("chunks > 1")
+    if split.limit(1).count():
+        labels = components(found, docs.sparkSession)
+        found = found.unionByName(_compared(docs, unique, _rest(split, labels, threshold), key, text, heavy, threshold))
+    drop(docs.sparkSession, path)
+    return found
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """node, label (the least node of its component) of every node with a link: minimum labels and pointer jumping, each round a written table."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -85,3 +85,22 @@ def test_keep_first(spark):
     df = spark.createDataFrame([(3, "a b c d e f g", "x"), (2, "A b c d e f g!", "y"), (2, "A b c d e f g!", "y"), (9, "other words stand here now", "z"), (None, None, None), (None, "a null key", "n"), (9, "the same key again", "k")], "doc_id long, text string, class_id string")
     assert sorted(r.class_id or "" for r in n.keep_first(df).collect()) == ["", "k", "n", "y", "z"]
     assert n.classes(df.limit(0)).count() == 0
+
+
+def test_nodes_of_one_key_meet_across_chunks(spark, monkeypatch):
+    """Copies of copies: neighbours in a chain are alike, but few are like the node that leads a key's chunks."""
+    r = random.Random(11)
+    out = []
+    for _ in range(3):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+        for step in range(14):
+            words[8 * step] = f"edit{r.randint(0, 10**6)}"
+            out.append(" ".join(words))
+    rows = list(enumerate(out))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    heavy = n.heavy_shingles(df, "text")
+    wanted = brute(out, heavy)
+    for chunk in (2, 3, 5):
+        monkeypatch.setattr(n, "CHUNK_ROWS", chunk)
+        got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
+        assert [got[i] for i, _ in rows] == wanted
