@@ -86,8 +86,8 @@ def byte_tokens(text: Column | str) -> Column:
 
 
 def training_pieces(text: Column | str, longest: int = 50_000, least: int = 4) -> Column:
-    """Paragraphs of ``least`` characters or more; longer ones than ``longest`` are cut at the last line end, else the last space, else hard."""
-    cut = rf"(?s)(.{{1,{longest - 1}}}(?=\n)|.{{1,{longest - 1}}}(?=[ ])|.{{1,{longest}}})"
+    """Paragraphs of ``least`` characters or more; longer ones than ``longest`` are cut at the last line end, else the last space, else hard, until the rest fits."""
+    cut = rf"(?s)(.{{1,{longest}}}\z|.{{1,{longest - 1}}}(?=\n)|.{{1,{longest - 1}}}(?=[ ])|.{{1,{longest}}})"
     parts = F.transform(F.split(_col(text), "\n\n"), strip)
     cut_up = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= longest, F.array(p)).otherwise(F.transform(F.regexp_extract_all(p, F.lit(cut), F.lit(1)), strip))))
     return F.filter(cut_up, lambda p: F.length(p) >= least)

@@ -137,7 +137,7 @@ def nfc_sanitize(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(x) AS INTEGER) AS n_pieces, CAST(list_sum(list_transform(x, lambda y: length(y))) AS BIGINT) AS n_chars FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda z: trim(z, ' ' || chr(10))), lambda y: length(y) >= 4) AS x FROM documents WHERE length(text) < 50000)")
 def training_piece_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") < 50_000).select("doc_id", training_pieces("text").alias("x"))
+    d = table(spark, sf_dir, "documents").select("doc_id", training_pieces("text").alias("x"))
     return d.select("doc_id", F.size("x").alias("n_pieces"), F.when(F.size("x") > 0, F.aggregate("x", F.lit(0).cast("long"), lambda a, y: a + F.length(y))).alias("n_chars"))
 
 
