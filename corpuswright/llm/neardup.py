@@ -1,11 +1,9 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A document's shingles are its runs of five words, weighted by their count times
-ln(1 + N / max(df, HEAVY * N)), N and df counted over all documents.  Only
-shingles in at least HEAVY of all documents have a weight below the greatest;
-they are found exactly in two scans: a shingle that frequent overall is that
-frequent in some block of documents, so every block names its own, and the
-named ones are counted.  There are at most (mean length / HEAVY) of them.
+ln(1 + N / df), N and df counted over all documents.  df is counted in tables:
+blocks of documents ask for their distinct shingles, cut by ranges of the hash;
+each range is counted whole and its counts go back to the blocks that asked.
 
 Texts with the same words make one node, so copies cost nothing further.  Of
 each node ``BANDS * ROWS`` consistent weighted samples are drawn; a pair with
@@ -30,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuswright.llm.store import drop, free_shuffles, lean, written
-from corpuswright.llm.words import Words, mix, pieces, shingles
+from corpuswright.llm.words import PIECE, Words, mix, pieces, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 2
+#: Bytes of text of a block of documents that asks for document frequencies, and of a range of shingles that is counted whole.
+ASKING, COUNTING = 4 << 20, 16 << 20
+#: Shingles in a row of questions or answers.
+ASKED = 4096
 HEAVY = 0.01
 #: Documents counted together, at least, when a block names its frequent shingles.
 BLOCK = 2000
@@ -111,7 +115,7 @@ def _frequent_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ln of idf weight) of all shingles in at least HEAVY of the documents, sorted."""
+    """(shingles, ln of idf weight) of all shingles in at least HEAVY of the documents, sorted: a table for checks on small corpora; the query takes the df of every shingle."""
     src = docs.select(F.col(text).alias("text"))
     found, path = written(src.mapInArrow(lean(_frequent_blocks), "shingle long, docs long"), "frequent")
     n = found.agg(F.sum("docs")).first()[0] or 0
@@ -149,6 +153,67 @@ def log_weights(sh: np.ndarray, count: np.ndarray, heavy: tuple[np.ndarray, np.n
     return out + np.where(known[at] == sh, lnidf[at], most)
 
 
+def weights(count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """ln of count times idf; df of n documents hold the shingle."""
+    return np.log(count).astype(np.float32) + np.log(np.log1p(n / df)).astype(np.float32)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """(value, rows) of the runs of one value in sorted batches."""
+    return groupby((row for b in batches for row in b.to_pylist()), key=itemgetter(by))
+
+
+def _asked(blocked: DataFrame, parts: int) -> DataFrame:
+    """(block, part, nth, low, high, n): the distinct shingles of each block, ascending, in rows of one part each, and how many of its documents hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _groups(batches, "block"):
+            found = [counted_shingles(texts)[1] for texts in _texts(r["text"] for r in rows)]
+            sh, df = np.unique(np.concatenate(found), return_counts=True)
+            part = ((sh * np.uint64(parts)) >> np.uint64(SHINGLE_BITS)).astype(np.int64)
+            ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(sh))
+            cuts = [(x, min(x + ASKED, int(e))) for a, e in zip(np.append(0, ends[:-1]), ends, strict=True) for x in range(int(a), int(e), ASKED)]
+            for i in range(0, len(cuts), 100):
+                some = cuts[i : i + 100]
+                low, high = sh.astype("<u4"), (sh >> np.uint64(32)).astype("<u2")
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(some), pa.int32()), "part": pa.array([part[x] for x, _ in some], pa.int64()), "nth": pa.array(range(i, i + len(some)), pa.int64()), "low": [low[x:y].tobytes() for x, y in some], "high": [high[x:y].tobytes() for x, y in some], "n": [df[x:y].astype("<u4").tobytes() for x, y in some]})
+
+    return blocked.mapInArrow(lean(run), "block int, part long, nth long, low binary, high binary, n binary")
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """(block, nth, df): the document frequencies of the shingles of every row of questions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "part"):
+            to, found, seen = [], [], []
+            for r in rows:
+                to.append((r["block"], r["nth"]))
+                found.append((np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32)) | np.frombuffer(r["low"], "<u4"))
+                seen.append(np.frombuffer(r["n"], "<u4"))
+            values, at = np.unique(np.concatenate(found), return_inverse=True)
+            total = np.bincount(at, np.concatenate(seen), len(values)).astype("<u4")
+            ends = np.cumsum([len(x) for x in found])
+            for i in range(0, len(to), 100):
+                some = range(i, min(i + 100, len(to)))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([to[k][0] for k in some], pa.int32()), "nth": pa.array([to[k][1] for k in some], pa.int64()), "df": [total[at[ends[k] - len(found[k]) : ends[k]]].tobytes() for k in some]})
+
+    return asked.mapInArrow(lean(run), "block int, nth long, df binary")
+
+
+def _texts(rows: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about PIECE characters."""
+    held, size = [], 0
+    for text in rows:
+        if held and size + len(text or "") > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield held
+
+
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables of 2**16 draws each: r and ln c, with r and c Gamma(2, 1), and beta, uniform."""
     u = (np.arange(1 << 16) + 0.5) / (1 << 16)
@@ -178,26 +243,67 @@ def samples(doc: np.ndarray, sh: np.ndarray, lnw: np.ndarray, n_docs: int, k: in
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node, MD5 of the text, n_bytes, total weight and the bands' keys of every row (no keys for a text without words)."""
-    src = docs.select(F.col(key), F.col(text).alias("text"))
-    schema = src.select(key, F.lit(b"").alias("node"), F.lit(b"").alias("raw"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("total"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """A written table of key, node, MD5 of the text, n_bytes, total weight, df of the shingles (32 bits each, ascending by shingle) and the bands' keys of every row (no keys for a text without words); the number of rows."""
+    spark = docs.sparkSession
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    n, size = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocked = src.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(1 + size // ASKING)).cast("int"))
+    asking = blocked.select("block", "text").repartition(tasks, "block").sortWithinPartitions("block")
+    asked, asked_path = written(_asked(asking, 1 + size // COUNTING), "asked")
+    answers, answers_path = written(_answers(asked.repartition(tasks, "part").sortWithinPartitions("part")), "answers")
+    drop(spark, asked_path)
+    del asking, asked
+    free_shuffles(spark)
+    none = {"nth": "long", "df": "binary"}
+    rows = blocked.select("block", "key", "text", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    rows = answers.select("block", F.lit(None).cast(src.schema["key"].dataType).alias("key"), F.lit(None).cast("string").alias("text"), "nth", "df").unionByName(rows)
+    rows = rows.repartition(tasks, "block").sortWithinPartitions("block", F.col("nth").asc_nulls_last())
+    schema = src.select("key", F.lit(b"").alias("node"), F.lit(b"").alias("raw"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("total"), F.lit(b"").alias("df"), F.array(F.lit(0).cast("long")).alias("bands")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, texts in pieces(b):
+        kind = None
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field("key").type
+                yield b
+
+        for _, group in _groups(typed(), "block"):
+            known, keys, held = [], [], []
+            for r in group:
+                if r["nth"] is not None:
+                    known.append(np.frombuffer(r["df"], "<u4"))
+                else:
+                    keys.append(r["key"])
+                    held.append(r["text"])
+            values = np.unique(np.concatenate([np.unique(counted_shingles(texts)[1]) for texts in _texts(iter(held))]))
+            frequency = np.concatenate([np.zeros(0, "<u4"), *known])
+            assert len(frequency) == len(values)
+            i = 0
+            for texts in _texts(iter(held)):
                 doc, sh, count, w, h = counted_shingles(texts)
-                lnw = log_weights(sh, count, heavy)
+                df = frequency[np.searchsorted(values, sh)]
+                lnw = weights(count, df, n)
                 s = samples(doc, sh, lnw, len(texts), BANDS * ROWS)
                 total = np.bincount(doc, np.exp(lnw.astype(np.float64)), len(texts))
+                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
                 bands = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands + s[:, r::ROWS] + np.uint64(r + 1))
                 some = w.counts() > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(bands[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(total, pa.float64()), lists], names=[key, "node", "raw", "n_bytes", "total", "bands"])
+                dfs = [df[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + len(texts)], kind), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(total, pa.float64()), pa.array(dfs, pa.binary()), lists], names=["key", "node", "raw", "n_bytes", "total", "df", "bands"])
+                i += len(texts)
 
-    return src.mapInArrow(lean(run), schema)
+    sig, _ = written(rows.mapInArrow(lean(run), schema), "signatures")
+    drop(spark, answers_path)
+    del rows, answers
+    free_shuffles(spark)
+    return sig.withColumnRenamed("key", key) if key != "key" else sig, n
 
 
 def _parts(n: Column, size: Column, share: int = 1) -> Column:
@@ -250,18 +356,18 @@ def _rest(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     return m.join(sides, "place").select("chunk", "node", F.lit(False).alias("leads"), "side", "label", "band")
 
 
-def _linked(texts: list[str], at: list[tuple], heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[bytes, bytes]]:
-    """Links that join the texts of a chunk; the first text leads.  at: node, side, label, band and bands' keys of each.
+def _linked(texts: list[str], at: list[tuple], n: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the texts of a chunk; the first text leads.  at: node, side, label, band, bands' keys and df of each; n: all documents.
 
     Each pair not joined already is compared, but pairs of one class, those that
     share an earlier band's key and, if there are two sides, those of one side.
     """
     doc, sh, count, *_ = counted_shingles(texts)
-    weight = np.exp(log_weights(sh, count, heavy).astype(np.float64))
+    own, sides, labels, bands, keys, dfs = zip(*at, strict=True)
+    weight = np.exp(weights(count, np.frombuffer(b"".join(dfs), "<u4"), n).astype(np.float64))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     vectors = [(sh[a:b], weight[a:b], weight[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     totals = np.array([v[2] for v in vectors])
-    own, sides, labels, bands, keys = zip(*at, strict=True)
     sides, keys = np.array(sides), np.array(keys, np.int64)[:, : bands[0]]
     first: dict[bytes, int] = {}
     root = [first.setdefault(x, i) for i, x in enumerate(labels)]
@@ -294,24 +400,24 @@ def _linked(texts: list[str], at: list[tuple], heavy: tuple[np.ndarray, np.ndarr
     return links
 
 
-def _compared(docs: DataFrame, unique: DataFrame, chunks: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+def _compared(docs: DataFrame, sig: DataFrame, unique: DataFrame, chunks: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
     """The links (a, b) found in chunks, in a written table."""
     met, met_path = written(chunks.join(unique.select("node", "id"), "node"), "met")
-    wanted = met.groupBy("id", "node").agg(F.collect_list(F.struct("chunk", "leads", "side", "label", "band")).alias("at")).join(unique.select("node", "bands"), "node")
-    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("node", "bands", "text", F.explode("at").alias("at")).select("at.*", "bands", "node", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(4 * n, "chunk").sortWithinPartitions("chunk", F.desc("leads"), "node")
+    wanted = met.groupBy("id", "node").agg(F.collect_list(F.struct("chunk", "leads", "side", "label", "band")).alias("at")).join(sig.groupBy("node").agg(F.first("bands").alias("bands"), F.first("df").alias("df")), "node")
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("node", "bands", "df", "text", F.explode("at").alias("at")).select("at.*", "bands", "df", "node", "text")
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.desc("leads"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[str, tuple]] = {}
         now = None
 
         def close() -> pa.RecordBatch:
-            found = _linked([t for t, _ in held.values()], [x for _, x in held.values()], heavy, threshold)
+            found = _linked([t for t, _ in held.values()], [x for _, x in held.values()], n, threshold)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            for chunk, node, text, *at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "node", "text", "side", "label", "band", "bands")), strict=True):
+            for chunk, node, text, *at in zip(*(batch.column(c).to_pylist() for c in ("chunk", "node", "text", "side", "label", "band", "bands", "df")), strict=True):
                 if chunk != now:
                     if len(held) > 1:
                         yield close()
@@ -330,15 +436,15 @@ def _compared(docs: DataFrame, unique: DataFrame, chunks: DataFrame, key: str, t
     return found
 
 
-def links(docs: DataFrame, sig: DataFrame, key: str, text: str, heavy: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+def links(docs: DataFrame, sig: DataFrame, key: str, text: str, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of nodes (a, b) that join all nodes with verified similarity; within a chunk, a spanning set of them."""
     unique = sig.where(F.size("bands") > 0).groupBy("node").agg(F.min(F.col(key)).alias("id"), F.max("n_bytes").alias("n_bytes"), F.max("total").alias("total"), F.first("bands").alias("bands"))
     members, path = written(_members(unique), "members")
-    found = _compared(docs, unique, _chunks(members), key, text, heavy, threshold)
+    found = _compared(docs, sig, unique, _chunks(members), key, text, n, threshold)
     split = members.where("chunks > 1")
     if split.limit(1).count():
         labels = components(found, docs.sparkSession)
-        found = found.unionByName(_compared(docs, unique, _rest(split, labels, threshold), key, text, heavy, threshold))
+        found = found.unionByName(_compared(docs, sig, unique, _rest(split, labels, threshold), key, text, n, threshold))
     drop(docs.sparkSession, path)
     return found
 
@@ -362,9 +468,8 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
 
 def _labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """key, raw (the text's MD5) and label (its class) of every row."""
-    heavy = heavy_shingles(docs, text)
-    sig, _ = written(signatures(docs, key, text, heavy), "signatures")
-    found = components(links(docs, sig, key, text, heavy, threshold), docs.sparkSession)
+    sig, n = signatures(docs, key, text)
+    found = components(links(docs, sig, key, text, n, threshold), docs.sparkSession)
     return sig.select("node", key, "raw").join(found, "node", "left").select(F.coalesce("label", "node").alias("label"), key, "raw")
 
 

@@ -104,3 +104,25 @@ def test_nodes_of_one_key_meet_across_chunks(spark, monkeypatch):
         monkeypatch.setattr(n, "CHUNK_ROWS", chunk)
         got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
         assert [got[i] for i, _ in rows] == wanted
+
+
+def test_every_shingle_has_its_document_frequency(spark, monkeypatch):
+    """A passage in 4 of 1,004 documents weighs less than text found once, though it is in fewer than 1 % of them."""
+    r = random.Random(4)
+    text = lambda k: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(k))
+    passage = text(104)
+    rows = [(i, text(12)) for i in range(1000)] + [(1000 + i, passage + " " + text(11)) for i in range(4)] + [(1000, None), (2000, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, size in (("ASKING", 5000), ("COUNTING", 9000), ("ASKED", 50)):
+        monkeypatch.setattr(n, name, size)
+    sig, total = n.signatures(df, "doc_id", "text")
+    assert total == len(rows)
+    texts = [t for _, t in rows]
+    doc, sh, count, w, h = n.counted_shingles(texts)
+    values, at, seen = np.unique(sh, return_inverse=True, return_counts=True)
+    names = n.nodes(texts, w, h)
+    wanted = {names[i]: seen[at[doc == i]].tolist() for i in range(len(texts))}
+    assert {bytes(x.node): np.frombuffer(x.df, "<u4").tolist() for x in sig.collect()} == wanted
+    # Equal weights make these 0.82 alike, true ones 0.78.
+    got = {x.doc_id: x.class_id for x in n.classes(df.where("text is not null and doc_id >= 0")).collect()}
+    assert all(got[i] == i for i in range(1004))
