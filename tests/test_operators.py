@@ -260,3 +260,16 @@ def test_training_piece_counts_of_long_documents(spark, tmp_path):
     got = {r.doc_id: (r.n_pieces, r.n_chars) for r in catalogue.training_piece_counts(spark, str(tmp_path)).collect()}
     wanted = {i: plain_pieces(t) for i, t in enumerate(texts)}
     assert got == {i: (len(x), sum(map(len, x)) if x else None) for i, x in wanted.items()}
+
+
+def test_shard_with_ids_beyond_the_vocabulary(spark, tmp_path):
+    import hashlib
+    import json
+
+    import numpy as np
+
+    for name, ids in (("good", [0, 31_999]), ("bad", [0] * 9_000 + [32_000])):
+        raw = np.array(ids, "<u2").tobytes()
+        (tmp_path / f"{name}.bin").write_bytes(raw)
+        (tmp_path / f"{name}.json").write_text(json.dumps({"file": f"{name}.bin", "n_tokens": len(ids), "sha256": hashlib.sha256(raw).hexdigest()}))
+    assert {r.file: r.ok for r in shards.check(spark, str(tmp_path), 32_000).collect()} == {"good.bin": True, "bad.bin": False}
