@@ -51,8 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """domain, language, seq, n, sha256, in_val of every document; no text."""
-    d = table(spark, sf_dir, "documents").where(~is_blank("text")).select(F.col("lang").alias("domain"), F.col("source").alias("language"), F.col("doc_id").alias("seq"), byte_tokens("text").alias("n"), content_sha256("text").alias("sha256"))
+    """domain, language, seq, n, sha256, in_val of every document, its text sanitised; no text."""
+    d = sanitize(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).where(~is_blank("text")).select(F.col("lang").alias("domain"), F.col("source").alias("language"), F.col("doc_id").alias("seq"), byte_tokens("text").alias("n"), content_sha256("text").alias("sha256"))
     return d.withColumn("in_val", in_val_bucket("sha256"))
 
 

@@ -273,3 +273,11 @@ def test_shard_with_ids_beyond_the_vocabulary(spark, tmp_path):
         (tmp_path / f"{name}.bin").write_bytes(raw)
         (tmp_path / f"{name}.json").write_text(json.dumps({"file": f"{name}.bin", "n_tokens": len(ids), "sha256": hashlib.sha256(raw).hexdigest()}))
     assert {r.file: r.ok for r in shards.check(spark, str(tmp_path), 32_000).collect()} == {"good.bin": True, "bad.bin": False}
+
+
+def test_content_duplicates_in_other_unicode_forms(spark, tmp_path):
+    from corpuswright.plans import catalogue
+
+    rows = [(1, "caf\u00e9 noir", "fr", "web"), (2, " cafe\u0301 noir", "fr", "web"), (3, "cafe noir", "fr", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.is_first for r in catalogue.content_hash_dedup(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True}
