@@ -5,21 +5,30 @@ corpus is found with sorted suffixes and the common prefixes of neighbours.
 
 Suffixes are sorted in two stages: those smaller than their successor (type S)
 are sorted directly, the rest (type L) follow from them by one scan over the
-buckets of first bytes.  A suffix that shares ``MATCH`` bytes with a neighbour
-in that order marks a repeated string.
+buckets of first bytes.  A suffix whose common prefix with a neighbour in that
+order has ``MATCH`` bytes marks a repeated string.
 
 Equal strings first have to meet in one task.  Each ``MATCH``-byte string has a
 least ``GRAM``-byte hash in it (the leftmost of equals), its anchor; equal
 strings have equal anchors at equal places.  Neighbouring strings with one
 anchor form a run, a run's bytes are its context, and equal contexts of an
-anchor are counted and sent once.  An anchor seen once repeats nothing.  The
-contexts of all others are sorted in blocks, anchor by anchor.  An anchor with
-more than ``CONTEXTS`` different contexts would outgrow a task: its strings are
-split by their 64-bit hashes over all tasks and counted there instead.
+anchor (told by their MD5) are counted and sent once.  An anchor seen once
+repeats nothing, one with copies of a single context repeats all of it.  The
+contexts of all others are sorted in blocks, anchor by anchor.
+
+An anchor with more than ``CONTEXTS`` different contexts would outgrow a task.
+Its strings are dealt by where the anchor stands in them, in cells of ``width``
+places, and by the bytes that all strings of a cell have in common; contexts are
+cut to a cell's strings.  A group with one context left is settled by its count,
+a group of at most ``CONTEXTS`` is sorted like any anchor, and a larger one is
+dealt again in cells an eighth as wide.  A group of cells of one place holds
+equal strings only, so a few rounds settle every string.
 
 Defined results: null text has no bytes; a text of fewer than MATCH bytes keeps
 all of them; copies of a text repeat each other, so one of MATCH bytes or more
-loses everything in all its copies; extra columns are ignored.
+loses everything in all its copies; ties don't arise, as all copies go; extra
+columns are ignored, whatever their names; an empty table has no rows; very
+long texts are hashed in pieces that overlap by MATCH - 1 bytes.
 """
 
 from __future__ import annotations
@@ -40,6 +49,8 @@ GRAM = 64
 CONTEXTS = 2048
 #: Bytes of text hashed at once, of contexts sorted at once.
 PIECE, BLOCK = 1 << 19, 1 << 18
+#: Runs held before they are sent on with the number of their text's copies so far.
+HELD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 24) - 1)
 #: Stands between contexts; no byte of UTF-8.
@@ -57,8 +68,8 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
     step[-1] = -1
-    decided = np.flatnonzero(step)
-    return step[decided[np.searchsorted(decided, np.arange(n))]] > 0
+    ahead = np.where(step != 0, np.arange(n), n)
+    return step[np.minimum.accumulate(ahead[::-1])[::-1]] > 0  # of each place, the next one that differs
 
 
 def two_stage(t: np.ndarray, keep: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
@@ -71,10 +82,9 @@ def two_stage(t: np.ndarray, keep: np.ndarray | None = None, depth: int | None =
         # A suffix of type L is placed by its successor: keep all up to the next one of type S.
         s_at = np.append(np.flatnonzero(smaller), n - 1)
         kept = np.flatnonzero(keep)
-        edge = np.zeros(n + 2, np.int32)
-        np.add.at(edge, kept, 1)
-        np.add.at(edge, s_at[np.minimum(np.searchsorted(s_at, kept), len(s_at) - 1)] + 1, -1)
-        keep = np.cumsum(edge)[:n] > 0
+        edge = keep.astype(np.int32)
+        edge -= np.bincount(s_at[np.minimum(np.searchsorted(s_at, kept), len(s_at) - 1)] + 1, minlength=n + 1)[:n].astype(np.int32)
+        keep = np.cumsum(edge) > 0
     rest = keep & ~smaller
     direct = np.flatnonzero(keep & smaller).tolist()
     direct.sort(key=(lambda i: raw[i : i + depth]) if depth else (lambda i: raw[i:]))
@@ -111,46 +121,52 @@ def two_stage(t: np.ndarray, keep: np.ndarray | None = None, depth: int | None =
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, cut: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it, at most cut; 0 for the first."""
-    raw, at = t.tobytes(), order.tolist()
-    whole = np.array([len(raw) - max(i, j) >= cut and raw[i : i + cut] == raw[j : j + cut] for i, j in zip(at[:-1], at[1:], strict=True)], np.bool_)
+    """Bytes that each suffix shares with the one before it, at most cut; 0 for the first. Eight bytes are compared at once."""
+    n = len(t)
     out = np.zeros(len(order), np.int64)
-    out[1:][whole] = cut
-    live = np.flatnonzero(~whole) + 1
-    k, n = 0, len(t)
-    while len(live) and k < cut:
-        i, j = order[live - 1] + k, order[live] + k
-        same = (i < n) & (j < n)
-        same[same] = t[i[same]] == t[j[same]]
-        live = live[same]
-        out[live] += 1
-        k += 1
+    if len(order) < 2:
+        return out
+    words = np.zeros(n + 1, np.uint64)  # the eight bytes from each place on, the first one highest; nothing after the end
+    padded = np.concatenate([t, np.zeros(8, np.uint8)])
+    for j in range(8):
+        words[:n] |= padded[j : j + n].astype(np.uint64) << np.uint64(56 - 8 * j)
+    left = np.minimum(n - np.maximum(order[1:], order[:-1]), cut)  # no more than the shorter one has
+    live = np.arange(1, len(order))
+    k = 0
+    while len(live):
+        i, j = np.minimum(order[live - 1] + k, n), np.minimum(order[live] + k, n)
+        differ = words[i] ^ words[j]
+        end = (differ != 0) | (k + 8 >= left[live - 1])
+        done = live[end]
+        if len(done):
+            x = differ[end]
+            same = np.full(len(done), 8)
+            for b in range(7, -1, -1):
+                same[x >> np.uint64(56 - 8 * b) != 0] = b
+            out[done] = np.minimum(k + same, left[done - 1])
+        live = live[~end]
+        k += 8
     return out
 
 
 def repeated_starts(contexts: list[bytes], starts: list[int], twice: list[bool], match: int = MATCH) -> list[np.ndarray]:
-    """Of each context, which of its first ``starts`` match-byte strings occur again in any of them; twice: the context itself does."""
-    parts, begin, at = [], [], 0
-    for c, two in zip(contexts, twice, strict=True):
+    """Of each context, which of its first ``starts`` match-byte strings occur again in any of them; twice: the context itself does, so all of its strings."""
+    begin, at = [], 0
+    for c in contexts:
         begin.append(at)
-        for _ in range(1 + two):
-            parts += [c, b"\xff"]
-            at += len(c) + 1
-    t = np.frombuffer(b"".join(parts), np.uint8)
-    edge = np.zeros(len(t) + 1, np.int32)
-    for b, c, k, two in zip(begin, contexts, starts, twice, strict=True):
-        for x in (b, b + len(c) + 1)[: 1 + two]:
-            edge[x] += 1
-            edge[x + k] -= 1
-    keep = np.cumsum(edge)[:-1] > 0
+        at += len(c) + 1
+    t = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8)
+    edge = np.zeros(len(t) + 1, np.int8)
+    edge[begin] += 1
+    edge[np.array(begin) + np.array(starts)] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
     order = two_stage(t, keep, match)
     order = order[keep[order]]
-    raw, at = t.tobytes(), order.tolist()
-    again = np.fromiter((raw[i : i + match] == raw[j : j + match] for i, j in zip(at[:-1], at[1:], strict=True)), np.bool_, max(0, len(at) - 1))
+    again = np.flatnonzero(common_prefixes(t, order, match) >= match)
     found = np.zeros(len(t), np.bool_)
-    found[order[:-1][again]] = True
-    found[order[1:][again]] = True
-    return [found[b : b + k] for b, k in zip(begin, starts, strict=True)]
+    found[order[again - 1]] = True
+    found[order[again]] = True
+    return [np.ones(k, np.bool_) if two else found[b : b + k] for b, k, two in zip(begin, starts, twice, strict=True)]
 
 
 # ---- anchors and runs -----------------------------------------------------
@@ -177,11 +193,11 @@ def prefix_hashes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(t: np.ndarray, first: np.ndarray, last: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, ...]:
-    """Runs of the strings that start at first[i] to last[i] (one pair for each text): text, start, number of starts, anchor's hash, context's hash."""
+    """Runs of the strings that start at first[i] to last[i] (one pair for each text): text, start, number of starts, anchor's hash."""
     n = len(t)
     empty = np.zeros(0, np.int64)
     if n < match or not len(first):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
     h, down = prefix_hashes(t)
     m = n - GRAM + 1
     gram = mix((h[GRAM:] - h[:m]) * down[:m])
@@ -205,35 +221,47 @@ def runs(t: np.ndarray, first: np.ndarray, last: np.ndarray, match: int = MATCH)
     at = np.flatnonzero(new)
     x0, count = x[at], np.diff(np.append(at, len(x)))
     place = a[at]
-    context = mix((h[x0 + count - 1 + match] - h[x0]) * down[x0] + mix((place - x0).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64)))
-    return np.searchsorted(first, x0, side="right") - 1, x0, count, gram[place].view(np.int64), context.view(np.int64)
+    return np.searchsorted(first, x0, side="right") - 1, x0, count, gram[place].view(np.int64)
+
+
+def _md5(data: bytes) -> bytes:
+    return hashlib.md5(data, usedforsecurity=False).digest()
 
 
 def _occurrences(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of every different text of the task, with the number of its copies."""
+        """The runs of the task's texts; a text met again while its runs are held is counted, later it is a further text."""
         copies: dict[bytes, int] = {}
         found: list[tuple] = []
         pending: list[tuple[bytes, bytes, int]] = []
 
-        def flush() -> None:
+        def flush() -> int:
             parts, first, last, at = [], [], [], 0
             for _, part, _ in pending:
                 first.append(at)
                 last.append(at + len(part) - match)
                 parts.append(part)
                 at += len(part)
-            doc, x0, count, anchor, context = runs(np.frombuffer(b"".join(parts), np.uint8), np.array(first, np.int64), np.array(last, np.int64), match)
+            whole = b"".join(parts)
+            doc, x0, count, anchor = runs(np.frombuffer(whole, np.uint8), np.array(first, np.int64), np.array(last, np.int64), match)
+            context = [_md5(whole[a:z]) for a, z in zip(x0.tolist(), (x0 + count - 1 + match).tolist(), strict=True)]
             found.append(([pending[i][0] for i in doc.tolist()], x0 - np.array(first, np.int64)[doc] + np.array([p[2] for p in pending], np.int64)[doc], count, anchor, context))
             pending.clear()
+            return len(x0)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for names, x0, count, anchor, context in found:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(x0), pa.array(count, pa.int64()), pa.array(anchor), pa.array(context, pa.binary()), pa.array([copies[x] for x in names], pa.int64())], names=["name", "x0", "starts", "anchor", "context", "copies"])
+            found.clear()
+            copies.clear()
 
-        held = 0
+        held = n_runs = 0
         for b in batches:
             for text in b.column("text"):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(data) < match:
                     continue
-                name = hashlib.md5(data, usedforsecurity=False).digest()
+                name = _md5(data)
                 copies[name] = copies.get(name, 0) + 1
                 if copies[name] > 1:
                     continue
@@ -242,12 +270,16 @@ def _occurrences(match: int):
                     pending.append((name, part, i))
                     held += len(part)
                     if held >= PIECE:
-                        flush()
+                        n_runs += flush()
                         held = 0
+                if n_runs >= HELD:
+                    if pending:
+                        flush()
+                    yield from sent()
+                    held = n_runs = 0
         if pending:
             flush()
-        for names, x0, count, anchor, context in found:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(x0), pa.array(count, pa.int64()), pa.array(anchor), pa.array(context), pa.array([copies[x] for x in names], pa.int64())], names=["name", "x0", "starts", "anchor", "context", "copies"])
+        yield from sent()
 
     return run
 
@@ -266,25 +298,25 @@ def _contexts(match: int):
         for b in batches:
             for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                if hashlib.md5(data, usedforsecurity=False).digest() == name:  # not another row with the same id
-                    yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in at], pa.int64()), pa.array([x["context"] for x in at], pa.int64()), pa.array([x["twice"] for x in at], pa.bool_()), pa.array([x["starts"] for x in at], pa.int64()), pa.array([data[x["x0"] : x["x0"] + x["starts"] - 1 + match] for x in at], pa.binary())], names=["anchor", "context", "twice", "starts", "bytes"])
+                if _md5(data) == name:  # not another row with the same id
+                    yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in at], pa.int64()), pa.array([x["context"] for x in at], pa.binary()), pa.array([x["twice"] for x in at], pa.bool_()), pa.array([x["starts"] for x in at], pa.int64()), pa.array([data[x["x0"] : x["x0"] + x["starts"] - 1 + match] for x in at], pa.binary())], names=["anchor", "context", "twice", "starts", "bytes"])
 
     return run
 
 
-_CONTEXT = "anchor long, context long, twice boolean, starts long, bytes binary"
-_VERDICT = "anchor long, context long, repeated binary"
+_CONTEXT = "anchor long, context binary, twice boolean, starts long, bytes binary"
+_VERDICT = "anchor long, context binary, repeated binary"
 
 
-def _verdicts(anchor: list[int], context: list[int], marks: list[np.ndarray]) -> pa.RecordBatch:
+def _verdicts(anchor: list[int], context: list[bytes], marks: list[np.ndarray]) -> pa.RecordBatch:
     some = [i for i, m in enumerate(marks) if m.any()]
-    return pa.RecordBatch.from_arrays([pa.array([anchor[i] for i in some], pa.int64()), pa.array([context[i] for i in some], pa.int64()), pa.array([np.packbits(marks[i], bitorder="little").tobytes() for i in some], pa.binary())], names=["anchor", "context", "repeated"])
+    return pa.RecordBatch.from_arrays([pa.array([anchor[i] for i in some], pa.int64()), pa.array([context[i] for i in some], pa.binary()), pa.array([np.packbits(marks[i], bitorder="little").tobytes() for i in some], pa.binary())], names=["anchor", "context", "repeated"])
 
 
 def _sorted_blocks(match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts, anchor by anchor: which of their strings repeat."""
-        held: dict[tuple[int, int], tuple[bytes, int, bool]] = {}
+        held: dict[tuple[int, bytes], tuple[bytes, int, bool]] = {}
         size, last = 0, None
 
         def close() -> pa.RecordBatch:
@@ -305,109 +337,90 @@ def _sorted_blocks(match: int):
     return run
 
 
-def _hot_keys(parts: int, match: int):
+def _cells(width: int, match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The hashes of all strings of each context, dealt to parts by value."""
+        """Contexts cut to the strings of each cell: (anchor, context, j0, starts), the cell's group, the MD5 of the part."""
         for b in batches:
-            anchors, contexts, starts = (b.column(c).to_pylist() for c in ("anchor", "context", "starts"))
-            keys, of, nth = [], [], []
-            for i, (anchor, k, twice, data) in enumerate(zip(anchors, starts, b.column("twice").to_pylist(), b.column("bytes"), strict=True)):
-                t = np.frombuffer(data.as_buffer(), np.uint8)
-                h, down = prefix_hashes(t)
-                own = mix((h[match : match + k] - h[:k]) * down[:k] + np.uint64(anchor % (1 << 64)))
-                for _ in range(1 + twice):
-                    keys.append(own)
-                    of.append(np.full(k, i))
-                    nth.append(np.arange(k))
-            if not keys:
-                continue
-            key, of_all, nth_all = np.concatenate(keys), np.concatenate(of), np.concatenate(nth)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [order[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
-            some = [p for p in range(parts) if len(rows[p])]
-            ids = np.array([anchors, contexts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([key[rows[p]].tobytes() for p in some], pa.binary()), pa.array([np.ascontiguousarray(ids[:, of_all[rows[p]]]).tobytes() for p in some], pa.binary()), pa.array([nth_all[rows[p]].astype(np.int32).tobytes() for p in some], pa.binary())],
-                names=["part", "keys", "ids", "nth"],
-            )
+            rows = []
+            for anchor, context, twice, at, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "twice", "at", "bytes")), strict=True):
+                place = _place(data, anchor)
+                for piece in at:
+                    j, last = piece["j0"], piece["j0"] + piece["starts"] - 1
+                    while j <= last:
+                        cell = (place - j) // width  # of the places that the anchor has in strings from here on
+                        z = min(last, place - cell * width)
+                        low, high = cell * width, min(cell * width + width - 1, match - GRAM)
+                        # What all strings of the cell have: from the anchor's least place in them to the end of the one where it stands last.
+                        common = data[place - low : place - high + match]
+                        group = int.from_bytes(_md5(b"%d %d " % (anchor, cell) + common)[:8], "little", signed=True)
+                        rows.append((anchor, context, j, z - j + 1, group, _md5(b"%d " % (place - j) + data[j : z + match]), 1 + twice))
+                        j = z + 1
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["anchor", "context", "j0", "starts", "group", "part", "n"])
 
     return run
 
 
-def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts' repeated strings, part by part."""
-    blobs = [(k, i, n) for b in batches for k, i, n in zip(*(b.column(c).to_pylist() for c in ("keys", "ids", "nth")), strict=True)]
-    if not blobs:
-        return
-    key = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in blobs])
-    ids = np.concatenate([np.frombuffer(i, np.int64).reshape(2, -1) for _, i, _ in blobs], 1)
-    nth = np.concatenate([np.frombuffer(n, np.int32) for _, _, n in blobs])
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), np.bool_)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    ids, nth = ids[:, again], nth[again]
-    order = np.lexsort((nth, ids[1], ids[0]))
-    ids, nth = ids[:, order], nth[order]
-    new = np.ones(len(nth), np.bool_)
-    new[1:] = (np.diff(ids[0]) != 0) | (np.diff(ids[1]) != 0)
-    at = np.append(np.flatnonzero(new), len(nth))
-    marks = []
-    for a, z in zip(at[:-1], at[1:], strict=True):
-        m = np.zeros(int(nth[z - 1]) + 1, np.bool_)
-        m[nth[a:z]] = True
-        marks.append(m)
-    for i in range(0, len(marks), 5000):
-        yield _verdicts(ids[0][at[i : min(i + 5000, len(marks))]].tolist(), ids[1][at[i : min(i + 5000, len(marks))]].tolist(), marks[i : i + 5000])
+def _place(data: bytes, anchor: int) -> int:
+    """Where the anchor begins in its context: the leftmost gram with its hash, as runs() compares them."""
+    t = np.frombuffer(data, np.uint8)
+    h, down = prefix_hashes(t)
+    m = len(t) - GRAM + 1
+    gram = mix((h[GRAM:] - h[:m]) * down[:m])
+    return int(np.flatnonzero((gram & ~_PLACE) == (np.uint64(anchor % (1 << 64)) & ~_PLACE))[0])
 
 
 def covered(x0: list[int], marks: list[bytes], n: int, match: int = MATCH) -> list[tuple[int, int]]:
     """The bytes covered by the strings that start at x0[i] + j for every set bit j: maximal runs (from, to)."""
-    edge = np.zeros(n + 1, np.int32)
-    for x, m in zip(x0, marks, strict=True):
-        at = x + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little"))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + match, -1)
+    bits = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(marks), np.uint8), bitorder="little"))
+    size = np.array([len(m) for m in marks], np.int64)
+    at = bits + np.repeat(np.array(x0, np.int64) - 8 * (np.cumsum(size) - size), size)[bits >> 3]
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + match, minlength=n + 1)
     inside = np.concatenate([[0], (np.cumsum(edge)[:n] > 0).astype(np.int8), [0]])
     turn = np.flatnonzero(np.diff(inside))
     return list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
 
 
-def _spans(match: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, froms, tos, shas = [], [], [], []
-            for name, text, at in zip(b.column("name").to_pylist(), b.column("text"), b.column("at").to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
-                if hashlib.md5(data, usedforsecurity=False).digest() != name or names and names[-1] == name:
-                    continue
-                found = covered([x["x0"] for x in at], [x["repeated"] for x in at], len(data), match)
-                kept, done = hashlib.sha256(), 0
-                for a, z in found:
-                    kept.update(data[done:a])
-                    done = z
-                kept.update(data[done:])
-                names.append(name)
-                froms.append([a for a, _ in found])
-                tos.append([z for _, z in found])
-                shas.append(kept.hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(froms, pa.list_(pa.int64())), pa.array(tos, pa.list_(pa.int64())), pa.array(shas, pa.string())], names=["name", "from", "to", "kept_sha256"])
-
-    return run
+_EVERY = "unhex(concat(repeat('FF', int(starts div 8)), if(starts % 8 = 0, '', lpad(hex(shiftleft(1, int(starts % 8)) - 1), 2, '0'))))"
+
+
+def _hot_verdicts(hot: DataFrame, match: int, parts: int) -> tuple[DataFrame, list[str]]:
+    """(anchor, context, j0, repeated) of the contexts of hot anchors, and the folders of the tables behind it. hot: a written table of contexts."""
+    spark, paths, out = hot.sparkSession, [], None
+    todo = hot.select("anchor", "context", "twice", "bytes", F.array(F.struct(F.lit(0).cast("long").alias("j0"), "starts")).alias("at"))
+    width = 1 << (match - GRAM).bit_length()
+    while True:
+        width = max(1, width >> 3)
+        cells, path = written(todo.mapInArrow(lean(_cells(width, match)), "anchor long, context binary, j0 long, starts long, group long, part binary, n long"), "cells")
+        one = cells.groupBy("group", "part").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "context", "j0")).alias("e"), F.first("starts").alias("starts"))
+        several = one.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
+        one, one_path = written(one.join(several, "group").select("group", "part", "e.*", "starts", (F.col("n") > 1).alias("twice"), "different"), "parts")
+        same = one.where("different = 1").select("group", "part", F.expr(_EVERY).alias("repeated"))
+        few = one.where(F.col("different").between(2, CONTEXTS)).join(hot.select("anchor", "context", "bytes"), ["anchor", "context"])
+        few = few.select(F.col("group").alias("anchor"), F.col("part").alias("context"), "twice", "starts", F.substring("bytes", F.col("j0").cast("int") + 1, (F.col("starts") - 1 + match).cast("int")).alias("bytes"))
+        found = few.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_sorted_blocks(match)), _VERDICT).toDF("group", "part", "repeated")
+        found, found_path = written(same.unionByName(found), "settled")
+        paths += [path, one_path, found_path]
+        settled = cells.join(found, ["group", "part"]).select("anchor", "context", "j0", "repeated")
+        out = settled if out is None else out.unionByName(settled)
+        free_shuffles(spark)
+        open_ = one.where(F.col("different") > CONTEXTS).select("group", "part")
+        if not open_.limit(1).count():
+            return out, paths
+        left = cells.join(open_, ["group", "part"]).groupBy("anchor", "context").agg(F.collect_list(F.struct("j0", "starts")).alias("at"))
+        todo = hot.select("anchor", "context", "twice", "bytes").join(left, ["anchor", "context"])
 
 
 def repeated_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
-    """name (MD5 of the text's bytes), at: where its runs begin and, as bits, which strings from there on repeat. A row for each text that loses bytes, in a written table."""
+    """name (MD5 of the text's bytes), at: places of it (x0) and, as bits, which strings from each on repeat. A row for each text that loses bytes, in a written table."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(lean(_occurrences(match)), "name binary, x0 long, starts long, anchor long, context long, copies long"), "runs")
+    where, where_path = written(docs.select(F.col(text).alias("text")).mapInArrow(lean(_occurrences(match)), "name binary, x0 long, starts long, anchor long, context binary, copies long"), "runs")
     contexts = where.groupBy("anchor", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("name", "x0")).alias("e"), F.first("starts").alias("starts"))
     several = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
-    wanted = contexts.join(several, "anchor").select("anchor", "context", F.col("e.name").alias("name"), F.col("e.x0").alias("x0"), (F.col("n") > 1).alias("twice"), "starts", (F.col("different") > CONTEXTS).alias("hot"))
-    wanted, wanted_path = written(wanted.join(_first(docs, key, text), "name"), "wanted")
+    contexts, contexts_path = written(contexts.join(several, "anchor").select("anchor", "context", F.col("e.name").alias("name"), F.col("e.x0").alias("x0"), (F.col("n") > 1).alias("twice"), "starts", "different"), "contexts")
+    same = contexts.where("different = 1").select("anchor", "context", F.expr(_EVERY).alias("repeated"))
+    wanted, wanted_path = written(contexts.where("different > 1").withColumn("hot", F.col("different") > CONTEXTS).join(_first(docs, key, text), "name"), "wanted")
     free_shuffles(spark)
 
     def fetched(hot: bool) -> DataFrame:
@@ -415,14 +428,18 @@ def repeated_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", mat
         return _with_text(rows, docs, key, text).mapInArrow(lean(_contexts(match)), _CONTEXT)
 
     found, found_path = written(fetched(False).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(_sorted_blocks(match)), _VERDICT), "verdicts")
-    paths = [where_path, wanted_path, found_path]
+    paths = [where_path, contexts_path, wanted_path, found_path]
+    found = found.unionByName(same).select("anchor", "context", F.array(F.struct(F.lit(0).cast("long").alias("j0"), "repeated")).alias("of"))
     if wanted.where("hot").limit(1).count():
         free_shuffles(spark)
-        keys = fetched(True).mapInArrow(lean(_hot_keys(parts, match)), "part long, keys binary, ids binary, nth binary")
-        more, more_path = written(keys.repartition(parts, "part").mapInArrow(lean(_hot_counts), _VERDICT), "verdicts")
-        found, paths = found.unionByName(more), [*paths, more_path]
+        hot, hot_path = written(fetched(True), "hot")
+        more, more_paths = _hot_verdicts(hot, match, parts)
+        found = found.unionByName(more.groupBy("anchor", "context").agg(F.collect_list(F.struct("j0", "repeated")).alias("of")))
+        paths += [hot_path, *more_paths]
     free_shuffles(spark)
-    out, _ = written(where.join(found, ["anchor", "context"]).groupBy("name").agg(F.collect_set(F.struct("x0", "repeated")).alias("at")), "marks")
+    marks = where.join(found, ["anchor", "context"]).groupBy("name").agg(F.collect_set(F.struct("x0", "of")).alias("at"))
+    flat = F.flatten(F.transform("at", lambda x: F.transform(x["of"], lambda o: F.struct((x["x0"] + o["j0"]).alias("x"), o["repeated"].alias("m")))))
+    out, _ = written(marks.select("name", flat.alias("at")).select("name", F.struct(F.col("at.x").alias("x0"), F.col("at.m").alias("repeated")).alias("at")), "marks")
     for p in paths:
         drop(spark, p)
     free_shuffles(spark)
@@ -434,28 +451,44 @@ def _first(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def named(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, name, n_bytes and sha256 of every row."""
+    """id and name (the MD5 of its text's bytes) of every row."""
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return docs.select(F.col(key).alias("id"), F.unhex(F.md5(data)).alias("name"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
+    return docs.select(F.col(key).alias("id"), F.unhex(F.md5(data)).alias("name"))
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
-    """key, name, n_bytes, n_removed, n_spans, kept_sha256, from and to (the removed runs) of every row."""
+def _marked(docs: DataFrame, key: str, text: str, match: int) -> DataFrame:
+    """The documents and __at, their marks (null: nothing repeats)."""
     marks = repeated_marks(docs, key, text, match)
-    # Copies lose the same bytes: one of them is read, and the others take over its result.
-    spans, _ = written(_with_text(marks.join(_first(docs, key, text), "name"), docs, key, text).mapInArrow(lean(_spans(match)), "name binary, from array<long>, to array<long>, kept_sha256 string").dropDuplicates(["name"]), "spans")
-    free_shuffles(docs.sparkSession)
-    rows = named(docs, key, text).join(spans, "name", "left")
-    length = F.aggregate(F.zip_with("to", "from", lambda z, a: z - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    return rows.select(F.col("id").alias(key), "name", "n_bytes", F.coalesce(length, F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("from").cast("long"), F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "from", "to")
+    of = named(docs, key, text).select("id", "name").distinct().join(marks, "name").withColumnsRenamed({"id": "__id", "name": "__name", "at": "__at"})
+    data = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    return docs.join(of, F.col(key).eqNullSafe(F.col("__id")) & (data == F.col("__name")), "left").select(*docs.columns, "__at")
+
+
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, from and to (the removed runs) and text (what is kept, less characters cut in part) of every row."""
+    rows = _marked(docs.select(F.col(key), F.col(text)), key, text, match)
+    schema = docs.select(F.col(key), *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"), *(F.array(F.lit(0).cast("long")).alias(c) for c in ("from", "to")), F.lit("").alias("text")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for value, at in zip(b.column(text), b.column("__at").to_pylist(), strict=True):
+                data = value.as_buffer().to_pybytes() if value.is_valid else b""
+                found = covered(at["x0"], at["repeated"], len(data), match) if at else []
+                kept, done = [], 0
+                for a, z in [*found, (len(data), len(data))]:
+                    kept.append(data[done:a])
+                    done = z
+                out.append((len(data), sum(z - a for a, z in found), len(found), hashlib.sha256(b"".join(kept)).hexdigest(), [a for a, _ in found], [z for _, z in found], "".join(x.decode("utf-8", "ignore") for x in kept)))
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=schema.names)
+
+    return rows.mapInArrow(lean(run), schema)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
     """The documents, with all their columns, less the characters that lie wholly in repeated bytes; a text that loses all of them goes."""
-    marks = repeated_marks(docs, key, text, match)
-    of = named(docs, key, text).select("id", "name").distinct().join(marks, "name").withColumnsRenamed({"id": "__id", "name": "__name", "at": "__at"})
-    data = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
-    rows = docs.join(of, F.col(key).eqNullSafe(F.col("__id")) & (data == F.col("__name")), "left").select(*docs.columns, "__at")
+    rows = _marked(docs, key, text, match)
     names, at_column = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +501,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
                     continue
                 whole, at = value.as_buffer().to_pybytes(), at.as_py()
                 parts, done = [], 0
-                for a, z in covered([x["x0"] for x in at], [x["repeated"] for x in at], len(whole), match):
+                for a, z in covered(at["x0"], at["repeated"], len(whole), match):
                     # A character that is covered in part stays.
                     while a < z and whole[a] & 0xC0 == 0x80:
                         a += 1
@@ -486,4 +519,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")

@@ -53,12 +53,34 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("match", "contexts"), [(400, 2048), (400, 1), (128, 3)])
+@pytest.mark.parametrize(("match", "contexts"), [(400, 2048), (400, 2), (400, 1), (128, 3), (65, 1)])
 def test_removed_equals_brute_force(spark, rows, monkeypatch, match, contexts):
     monkeypatch.setattr(s, "CONTEXTS", contexts)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.removed(df, match=match).collect()}
+    out = s.removed(df, match=match).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
     assert got == dict(zip([i for i, _ in rows], brute([t for _, t in rows], match), strict=True))
+    texts = dict(rows)
+    for r in out:
+        data, done, kept = (texts[r.doc_id] or "").encode(), 0, ""
+        for a, z in [*zip(r["from"], r["to"], strict=True), (len(data), len(data))]:
+            kept += data[done:a].decode("utf-8", "ignore")
+            done = z
+        assert r.text == kept
+
+
+def test_hot_anchor(spark, monkeypatch):
+    """One passage in many texts, some of them cut near either end: far more contexts than are sorted together."""
+    monkeypatch.setattr(s, "CONTEXTS", 8)
+    monkeypatch.setattr(s, "HELD", 50)
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choice("etaoinshr dlu") for _ in range(n))
+    passage = noise(900)
+    texts = [noise(r.randint(0, 300)) + passage[r.choice([0, 0, 3, 200]) : r.choice([900, 900, 899, 650])] + noise(r.randint(0, 300)) for _ in range(150)]
+    texts += texts[:30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in s.removed(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
 
 
 def test_repeated_rows_and_ids(spark):
