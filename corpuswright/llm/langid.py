@@ -8,15 +8,19 @@ forward-backward gives every word's label probabilities, so text that switches
 between languages is labelled word by word.  A document's language is the label
 with the largest sum of its words' probabilities, its score that sum's share.
 
-A chain holds at most ``CHAIN`` consecutive words of a document; all words are
-labelled, whatever the length.  Training takes a bounded sample: about
-``SAMPLE`` documents of each language, ``WINDOWS`` runs of ``CHAIN`` words from
-each, chosen by hash; half the chains are joined from two languages, so that
-transitions are learned from switches too.
+A chain is a whole text, whatever its length.  It is worked off in blocks of
+``BLOCK`` words side by side: each block's product of transitions and emissions
+carries the probabilities over its borders, forward and backward, so that the
+blocks change the order of the sums and not their values.  Only training takes a
+bounded sample: about ``SAMPLE`` documents of each language, ``WINDOWS`` runs of
+``RUN`` words from each, chosen by hash; half the chains are joined from two
+languages, so that transitions are learned from switches too.
 
 Defined results: null text, text without a letter, or a corpus without labelled
-text gives ``und`` with score 0; ties go to the first language in sorted order;
-equal texts get equal results; extra columns are ignored.
+text (an empty table, too) gives ``und`` with score 0; ties go to the first
+language in sorted order; equal texts get equal results, repeated rows each
+theirs; very long texts are labelled whole, with memory in proportion; extra
+columns are ignored (``keep_known`` keeps them), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from corpuswright.llm.store import lean
 from corpuswright.llm.words import Words, _char_hash, mix, pieces
 
-CHAIN = 64
+RUN = 64
+BLOCK = 64
 SAMPLE = 300
 WINDOWS = 4
 BUCKETS = 1 << 14
@@ -93,47 +98,112 @@ def emissions(m: Model, w: Words) -> np.ndarray:
     return out + m.lexicon_weights[lexicon_of(w.hashes(), m.lexicon, m.lexicon_lang, len(m.langs))]
 
 
-def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, number of words) of every chain: runs of CHAIN words that don't cross texts."""
-    per = -(-counts // CHAIN)
-    first = np.repeat(np.cumsum(counts) - counts, per)
+def blocks(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words) of every block of the texts that begin at first, and the number of blocks of each text."""
+    per = -(-size // BLOCK)
     k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    return first + k * CHAIN, np.minimum(CHAIN, np.repeat(counts, per) - k * CHAIN)
+    return np.repeat(first, per) + k * BLOCK, np.minimum(BLOCK, np.repeat(size, per) - k * BLOCK), per
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _borders(psi: np.ndarray, first: np.ndarray, size: np.ndarray, per: np.ndarray, t_exp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each block from the words before it (before its first word's own factor) and from those behind it, at its last word."""
+    k = len(start)
+    head = np.cumsum(per) - per  # each text's first block
+    enter, leave = np.ones((len(first), k)), np.ones((len(first), k))
+    enter[head] = np.exp(start)
+    if not len(per) or per.max() == 1:
+        return enter, leave
+    through = psi[first][:, :, None] * np.eye(k)
+    some = np.repeat(per > 1, per)
+    for t in range(1, BLOCK):
+        live = np.flatnonzero(some & (size > t))
+        through[live] = _normal((through[live] @ t_exp) * psi[first[live] + t][:, None, :])
+    for j in range(1, int(per.max())):
+        at = head[per > j] + j
+        enter[at] = _normal(np.einsum("ni,nij->nj", enter[at - 1], through[at - 1]) @ t_exp)
+    for j in range(int(per.max()) - 1, 0, -1):
+        at = head[per > j] + j
+        leave[at - 1] = _normal(np.einsum("nij,nj->ni", through[at], leave[at]) @ t_exp.T)
+    return enter, leave
 
 
 def forward_backward(e: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each word's label probabilities; with pairs, also the expected count of each transition."""
+    """Each word's label probabilities, for texts of size words from first on (one word at least); with pairs, also the expected count of each transition."""
     n, k = e.shape
-    longest = int(size.max())
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # chains with more than t words
     t_exp = np.exp(trans).astype(np.float32)
     psi = np.exp(e - e.max(1, keepdims=True)).astype(np.float32)
-    alpha, beta = np.empty((n, k), np.float32), np.ones((n, k), np.float32)
-    now = psi[first] * np.exp(start).astype(np.float32)
-    now /= now.sum(1, keepdims=True)
-    alpha[first] = now
+    begin, length, per = blocks(first, size)
+    enter, leave = (x.astype(np.float32) for x in _borders(psi, begin, length, per, t_exp, start))
+    order = np.argsort(-length, kind="stable")
+    begin, length, enter, leave = begin[order], length[order], enter[order], leave[order]
+    longest = int(length.max())
+    live = np.searchsorted(-length, -np.arange(longest), side="left")  # blocks with more than t words
+    alpha, beta = np.empty((n, k), np.float32), np.empty((n, k), np.float32)
+    now = _normal(psi[begin] * enter)
+    alpha[begin] = now
     for t in range(1, longest):
-        at = first[: live[t]] + t
-        now = (now[: live[t]] @ t_exp) * psi[at]
-        now /= now.sum(1, keepdims=True)
+        at = begin[: live[t]] + t
+        now = _normal((now[: live[t]] @ t_exp) * psi[at])
         alpha[at] = now
-    expected = np.zeros((k, k)) if pairs else None
+    beta[begin + length - 1] = leave
     for t in range(longest - 1, 0, -1):
-        at = first[: live[t]] + t
-        right = psi[at] * beta[at]
-        if pairs:
-            joint = alpha[at - 1][:, :, None] * t_exp[None] * right[:, None, :]
-            expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        now = right @ t_exp.T
-        beta[at - 1] = now / now.sum(1, keepdims=True)
-    p = alpha * beta
-    return p / p.sum(1, keepdims=True), expected
+        at = begin[: live[t]] + t
+        beta[at - 1] = _normal((psi[at] * beta[at]) @ t_exp.T)
+    expected = None
+    if pairs:
+        inner = np.ones(n, np.bool_)
+        inner[first] = False
+        at = np.flatnonzero(inner)
+        expected = _normal(alpha[at - 1][:, :, None] * t_exp[None] * (psi[at] * beta[at])[:, None, :]).sum(0, dtype=np.float64)
+    return _normal(alpha * beta), expected
+
+
+def spans_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of the texts that have words."""
+    some = counts > 0
+    return (np.cumsum(counts) - counts)[some], counts[some]
+
+
+def gradient(m: Model, w: Words, at: np.ndarray, affix: np.ndarray, lex: np.ndarray, gold: np.ndarray, batch: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the mean log-likelihood of the labels gold over the chains of batch (lists of words), by weights, lexicon weights, transitions and start."""
+    idx = np.concatenate(batch)
+    size = np.array([len(x) for x in batch])
+    begin = np.cumsum(size) - size
+    y = gold[idx]
+    lens = w.lengths[idx]
+    chars = np.repeat(w.starts[idx] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+    word = np.repeat(np.arange(len(idx)), lens)
+    scale = (1 / lens).astype(np.float32)[word][:, None]
+    e = np.zeros((len(idx), len(m.langs)), np.float32)
+    np.add.at(e, word, (m.weights[at[chars, 0]] + m.weights[at[chars, 1]] + m.weights[at[chars, 2]]) * scale)
+    for n in range(6):
+        e += m.weights[affix[idx, n]]
+    e += m.lexicon_weights[lex[idx]]
+    p, expected = forward_backward(e, begin, size, m.transitions, m.start, pairs=True)
+    d = -p
+    d[np.arange(len(idx)), y] += 1
+    g_w, g_l, g_t, g_s = (np.zeros_like(x) for x in (m.weights, m.lexicon_weights, m.transitions, m.start))
+    spread = d[word] * scale
+    for n in range(3):
+        np.add.at(g_w, at[chars, n], spread)
+    for n in range(6):
+        np.add.at(g_w, affix[idx, n], d)
+    np.add.at(g_l, lex[idx], d)
+    inner = np.ones(len(idx), np.bool_)
+    inner[begin] = False
+    np.add.at(g_t, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
+    g_t -= expected
+    g_s += d[begin].sum(0)
+    g_w[0] = 0
+    return [g / len(batch) for g in (g_w, g_l, g_t, g_s)]
 
 
 def train(windows: list[tuple[str, str]]) -> Model | None:
-    """windows: (language, text) of at most CHAIN words each."""
+    """windows: (language, text), each a chain; so is each two of them joined."""
     windows = sorted(windows)
     langs = sorted({x for x, _ in windows})
     w = Words([t for _, t in windows], letters_only=True)
@@ -154,51 +224,22 @@ def train(windows: list[tuple[str, str]]) -> Model | None:
     # Chains: whole windows, and as many joined from the first half of one and the second half of another.
     whole = [np.arange(first[i], first[i] + counts[i]) for i in range(len(counts)) if counts[i]]
     other = [whole[i] for i in rng.permutation(len(whole))]
-    joined = [np.concatenate([a[: rng.integers(1, len(a) + 1)], b[rng.integers(0, len(b)) :]])[:CHAIN] for a, b in zip(whole, other, strict=True)]
+    joined = [np.concatenate([a[: rng.integers(1, len(a) + 1)], b[rng.integers(0, len(b)) :]])[:RUN] for a, b in zip(whole, other, strict=True)]
     sequences = whole + joined
     squares = [np.full(x.shape, 1e-3, np.float32) for x in (m.weights, m.lexicon_weights, m.transitions, m.start)]
     for _ in range(EPOCHS):
         order = rng.permutation(len(sequences))
         for i in range(0, len(order), 64):
-            batch = [sequences[j] for j in order[i : i + 64]]
-            idx = np.concatenate(batch)
-            size = np.array([len(x) for x in batch])
-            begin = np.cumsum(size) - size
-            y = gold[idx]
-            lens = w.lengths[idx]
-            chars = np.repeat(w.starts[idx] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
-            word = np.repeat(np.arange(len(idx)), lens)
-            scale = (1 / lens).astype(np.float32)[word][:, None]
-            e = np.zeros((len(idx), k), np.float32)
-            np.add.at(e, word, (m.weights[at[chars, 0]] + m.weights[at[chars, 1]] + m.weights[at[chars, 2]]) * scale)
-            for n in range(6):
-                e += m.weights[affix[idx, n]]
-            e += m.lexicon_weights[lex[idx]]
-            p, expected = forward_backward(e, begin, size, m.transitions, m.start, pairs=True)
-            d = -p
-            d[np.arange(len(idx)), y] += 1
-            g_w, g_l, g_t, g_s = (np.zeros_like(x) for x in (m.weights, m.lexicon_weights, m.transitions, m.start))
-            spread = d[word] * scale
-            for n in range(3):
-                np.add.at(g_w, at[chars, n], spread)
-            for n in range(6):
-                np.add.at(g_w, affix[idx, n], d)
-            np.add.at(g_l, lex[idx], d)
-            inner = np.ones(len(idx), np.bool_)
-            inner[begin] = False
-            np.add.at(g_t, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-            g_t -= expected
-            g_s += d[begin].sum(0)
-            g_w[0] = 0
-            for x, g, s in zip((m.weights, m.lexicon_weights, m.transitions, m.start), (g_w, g_l, g_t, g_s), squares, strict=True):
-                g = g / len(batch) - 1e-5 * x
+            parts = gradient(m, w, at, affix, lex, gold, [sequences[j] for j in order[i : i + 64]])
+            for x, g, s in zip((m.weights, m.lexicon_weights, m.transitions, m.start), parts, squares, strict=True):
+                g = g - 1e-5 * x
                 s += g * g
                 x += 0.3 * g / np.sqrt(s)
     return m
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", where: Column | None = None, key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Learn from about ``sample`` rows of each label that satisfy ``where``; rows are chosen by a hash of key."""
+    """Learn from about ``sample`` rows of each label that satisfy ``where`` (fitting only is bounded so; prediction reads whole texts); rows are chosen by a hash of key."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (where if where is not None else F.lit(True)))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
@@ -206,7 +247,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", where: Column
     share = F.create_map(*(F.lit(x) for kv in counts.items() for x in (kv[0], sample / kv[1])))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.where(chance < share[F.col(label)]).select(label, F.col(key).alias("k"), F.split(text, r"\s+").alias("w"))
-    run = lambda i: F.array_join(F.slice("w", (F.pmod(F.xxhash64("k", i), F.greatest(F.size("w") - CHAIN, F.lit(1))) + 1).cast("int"), CHAIN), " ")
+    run = lambda i: F.array_join(F.slice("w", (F.pmod(F.xxhash64("k", i), F.greatest(F.size("w") - RUN, F.lit(1))) + 1).cast("int"), RUN), " ")
     runs = chosen.select(label, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(WINDOWS)), run))).alias("t"))
     return train([(r[0], r[1]) for r in runs.limit(3 * sample * WINDOWS * len(counts)).collect()])
 
@@ -219,7 +260,7 @@ def _documents(m: Model | None, texts: list[str | None]) -> tuple[list[str], np.
     counts = w.counts()
     if not counts.sum():
         return found, score
-    p, _ = forward_backward(emissions(m, w), *chains(counts), m.transitions, m.start)
+    p, _ = forward_backward(emissions(m, w), *spans_of(counts), m.transitions, m.start)
     sums = np.stack([np.bincount(w.doc, weights=p[:, j], minlength=len(texts)) for j in range(len(m.langs))], 1)
     best = sums.argmax(1)
     for i in np.flatnonzero(counts).tolist():
@@ -267,7 +308,7 @@ def spans(docs: DataFrame, m: Model | None, text: str = "text", key: str = "doc_
                 w = Words(texts, letters_only=True)
                 if m is None or not len(w.doc):
                     continue
-                p, _ = forward_backward(emissions(m, w), *chains(w.counts()), m.transitions, m.start)
+                p, _ = forward_backward(emissions(m, w), *spans_of(w.counts()), m.transitions, m.start)
                 best, at = p.argmax(1), w.at - np.concatenate([[0], w.ends[:-1] + 1])[w.doc]
                 new = np.ones(len(best), np.bool_)
                 new[1:] = (np.diff(best) != 0) | (np.diff(w.doc) != 0)
