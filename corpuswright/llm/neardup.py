@@ -19,8 +19,10 @@ come from iterated minimum labels, all in tables.
 
 Defined results: null text is empty text; texts without words are equal if
 their characters are; texts of fewer than five words have one shingle; rows
-that share a doc_id are told apart by their words; extra columns are ignored;
-an empty table has no rows.
+that share a doc_id are told apart by their words, repeated rows are in one
+class; a class is named by its least key, null keys last; very long texts are
+read whole, with memory in proportion; extra columns are ignored (``keep_first``
+keeps them), whatever their names; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -47,11 +50,6 @@ BANDS, ROWS = 10, 2
 ASKING, COUNTING = 4 << 20, 16 << 20
 #: Shingles in a row of questions or answers.
 ASKED = 4096
-HEAVY = 0.01
-#: Documents counted together, at least, when a block names its frequent shingles.
-BLOCK = 2000
-#: Frequent shingles counted in one scan; more take more scans.
-COUNTED = 2_000_000
 #: Rows and bytes of text of a chunk in which candidates are compared.
 CHUNK_ROWS, CHUNK_BYTES = 256, 4 << 20
 SHINGLE_BITS = 44
@@ -90,69 +88,6 @@ def nodes(texts: list[str | None], w: Words, h: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] if counts[i] else _md5(texts[i]) for i in range(len(texts))]
 
 
-def _frequent_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in at least HEAVY of a block's documents; a row (null) with the documents of each block."""
-    held: list[tuple[int, np.ndarray]] = []
-
-    def named(blocks: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        n = sum(x for x, _ in blocks)
-        sh, df = np.unique(np.concatenate([x for _, x in blocks]), return_counts=True)
-        sh = sh[df >= max(1, int(np.ceil(HEAVY * n)))]
-        return pa.RecordBatch.from_arrays([pa.array([None, *sh.astype(np.int64)], pa.int64()), pa.array([n, *[0] * len(sh)], pa.int64())], names=["shingle", "docs"])
-
-    for b in batches:
-        for _, _, texts in pieces(b):
-            doc, sh, *_ = counted_shingles(texts)
-            held.append((len(texts), sh))
-            if sum(x for x, _ in held) >= 2 * BLOCK:
-                # The last whole block waits, so that a short rest can join it.
-                block: list[tuple[int, np.ndarray]] = []
-                while sum(x for x, _ in block) < BLOCK:
-                    block.append(held.pop(0))
-                yield named(block)
-    if held:
-        yield named(held)
-
-
-def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ln of idf weight) of all shingles in at least HEAVY of the documents, sorted: a table for checks on small corpora; the query takes the df of every shingle."""
-    src = docs.select(F.col(text).alias("text"))
-    found, path = written(src.mapInArrow(lean(_frequent_blocks), "shingle long, docs long"), "frequent")
-    n = found.agg(F.sum("docs")).first()[0] or 0
-    named = np.sort(np.array([r[0] for r in found.where("shingle is not null").select("shingle").distinct().toLocalIterator()], np.int64)).astype(np.uint64)
-    drop(docs.sparkSession, path)
-    sh, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(named), COUNTED):
-        block = named[i : i + COUNTED]
-
-        def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(block), np.int64)
-            for b in batches:
-                for _, _, texts in pieces(b):
-                    x = counted_shingles(texts)[1]
-                    at = np.minimum(np.searchsorted(block, x), len(block) - 1)
-                    total += np.bincount(at[block[at] == x], minlength=len(block))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
-
-        rows = src.mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY * n).collect()
-        rows.sort()
-        sh.append(block[[r[0] for r in rows]] if rows else np.zeros(0, np.uint64))
-        df.append(np.array([r[1] for r in rows], np.int64))
-    shs, dfs = np.concatenate(sh), np.concatenate(df)
-    return shs, np.log(np.log1p(n / np.maximum(dfs, 1))).astype(np.float32)
-
-
-def log_weights(sh: np.ndarray, count: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.log(count).astype(np.float32)
-    known, lnidf = heavy
-    most = np.float32(np.log(np.log1p(1 / HEAVY)))
-    if not len(known):
-        return out + most
-    at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
-    return out + np.where(known[at] == sh, lnidf[at], most)
-
-
 def weights(count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """ln of count times idf; df of n documents hold the shingle."""
     return np.log(count).astype(np.float32) + np.log(np.log1p(n / df)).astype(np.float32)
@@ -169,7 +104,9 @@ def _asked(blocked: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _groups(batches, "block"):
             found = [counted_shingles(texts)[1] for texts in _texts(r["text"] for r in rows)]
-            sh, df = np.unique(np.concatenate(found), return_counts=True)
+            held = np.sort(np.concatenate(found))
+            at = np.append(np.flatnonzero(np.append(True, held[1:] != held[:-1])), len(held)) if len(held) else np.zeros(1, np.int64)
+            sh, df = held[at[:-1]], np.diff(at)
             part = ((sh * np.uint64(parts)) >> np.uint64(SHINGLE_BITS)).astype(np.int64)
             ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(sh))
             cuts = [(x, min(x + ASKED, int(e))) for a, e in zip(np.append(0, ends[:-1]), ends, strict=True) for x in range(int(a), int(e), ASKED)]
@@ -191,7 +128,9 @@ def _answers(asked: DataFrame) -> DataFrame:
                 to.append((r["block"], r["nth"]))
                 found.append((np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32)) | np.frombuffer(r["low"], "<u4"))
                 seen.append(np.frombuffer(r["n"], "<u4"))
-            values, at = np.unique(np.concatenate(found), return_inverse=True)
+            asked_for = np.concatenate(found)
+            values = _distinct(asked_for)
+            at = np.searchsorted(values, asked_for)
             total = np.bincount(at, np.concatenate(seen), len(values)).astype("<u4")
             ends = np.cumsum([len(x) for x in found])
             for i in range(0, len(to), 100):
@@ -214,6 +153,7 @@ def _texts(rows: Iterator[str | None]) -> Iterator[list[str | None]]:
         yield held
 
 
+@cache
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables of 2**16 draws each: r and ln c, with r and c Gamma(2, 1), and beta, uniform."""
     u = (np.arange(1 << 16) + 0.5) / (1 << 16)
@@ -232,17 +172,25 @@ def samples(doc: np.ndarray, sh: np.ndarray, lnw: np.ndarray, n_docs: int, k: in
     some, first = np.unique(doc, return_index=True)
     for j in range(k):
         h = mix(sh + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        r = r_table[(h & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = b_table[((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
+        draw = h.view(np.uint16).reshape(-1, 4)  # four numbers of 16 bits
+        r, beta = r_table[draw[:, 0]], b_table[draw[:, 1]]
         t = np.floor(lnw / r + beta)
-        lna = c_table[((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64)] - r * (t - beta) - r
+        lna = c_table[draw[:, 2]] - r * (t - beta + np.float32(1))
         bits = lna.view(np.int32)
-        rising = ((bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) + (1 << 31)).astype(np.uint64)
-        who = (mix(h + t.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32))
-        out[some, j] = np.minimum.reduceat((rising << np.uint64(32)) | who, first) & np.uint64(0xFFFFFFFF)
+        rising = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).view(np.uint32) ^ np.uint32(1 << 31)
+        who = ((h + t.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+        out[some, j] = np.minimum.reduceat((rising.astype(np.uint64) << np.uint64(32)) | who, first) & np.uint64(0xFFFFFFFF)
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once; a plain sort is faster here than np.unique."""
+    x = np.sort(x)
+    new = np.ones(len(x), np.bool_)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     """A written table of key, node, MD5 of the text, n_bytes, total weight, df of the shingles (32 bits each, ascending by shingle) and the bands' keys of every row (no keys for a text without words); the number of rows."""
     spark = docs.sparkSession
@@ -279,12 +227,13 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
                 else:
                     keys.append(r["key"])
                     held.append(r["text"])
-            values = np.unique(np.concatenate([np.unique(counted_shingles(texts)[1]) for texts in _texts(iter(held))]))
+            # A block is small (ASKING, or one long text): its shingles are found once and kept.
+            counted = [(texts, *counted_shingles(texts)) for texts in _texts(iter(held))]
+            values = _distinct(np.concatenate([c[2] for c in counted]))
             frequency = np.concatenate([np.zeros(0, "<u4"), *known])
             assert len(frequency) == len(values)
             i = 0
-            for texts in _texts(iter(held)):
-                doc, sh, count, w, h = counted_shingles(texts)
+            for texts, doc, sh, count, w, h in counted:
                 df = frequency[np.searchsorted(values, sh)]
                 lnw = weights(count, df, n)
                 s = samples(doc, sh, lnw, len(texts), BANDS * ROWS)
@@ -476,7 +425,8 @@ def _labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFra
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, class_id (the least key of its class), class_size of every row."""
     of = _labelled(docs, key, text, threshold)
-    least = of.groupBy("label").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Written, so that the join has a shuffle on both sides and a class that outgrows a task can be split over several.
+    least, _ = written(of.groupBy("label").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return of.join(least, "label").select(key, "class_id", "class_size")
 
 

@@ -1,6 +1,9 @@
 """Near-duplicate classes against brute force over weighted Jaccard similarity."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,13 +11,12 @@ import pytest
 from corpuswright.llm import neardup as n
 
 
-def brute(texts, heavy, threshold=0.8):
-    doc, sh, count, w, h = n.counted_shingles(texts)
-    weight = np.exp(n.log_weights(sh, count, heavy).astype(float))
-    sets = [{} for _ in texts]
-    for d, x, v in zip(doc.tolist(), sh.tolist(), weight.tolist(), strict=True):
-        sets[d][x] = v
-    names = n.nodes(texts, w, h)
+def brute(texts, threshold=0.8):
+    """Classes by all pairs, from words, shingles, document frequencies and weights of its own."""
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    counts = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in words]
+    df = Counter(s for c in counts for s in c)
+    sets = [{s: k * math.log(1 + len(texts) / df[s]) for s, k in c.items()} for c in counts]
     root = list(range(len(texts)))
 
     def top(x):
@@ -24,7 +26,8 @@ def brute(texts, heavy, threshold=0.8):
         for j in range(i):
             a, b = sets[i], sets[j]
             common = sum(min(v, b[k]) for k, v in a.items() if k in b)
-            if names[i] == names[j] or common and common >= threshold * (sum(a.values()) + sum(b.values()) - common) - 1e-9:
+            same = words[i] == words[j] if words[i] or words[j] else (texts[i] or "") == (texts[j] or "")
+            if same or common and common >= threshold * (sum(a.values()) + sum(b.values()) - common) - 1e-9:
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     return [top(i) for i in range(len(texts))]
@@ -49,26 +52,9 @@ def rows():
 @pytest.mark.parametrize("chunk", [256, 3])
 def test_classes_equal_brute_force(spark, rows, monkeypatch, chunk):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-    heavy = n.heavy_shingles(df, "text")
-    wanted = brute([t for _, t in rows], heavy)
-    if chunk == 256:
-        got = {r.doc_id: r.class_id for r in n.classes(df).collect()}
-        assert [got[i] for i, _ in rows] == wanted
-    else:
-        # Chunks of two or three: every class still lies within the right one.
-        monkeypatch.setattr(n, "CHUNK_ROWS", chunk)
-        got = {r.doc_id: r.class_id for r in n.classes(df).collect()}
-        assert all(wanted[got[i]] == wanted[i] for i, _ in rows)
-
-
-def test_heavy_shingles_are_exact(spark, monkeypatch):
-    texts = [f"common words in every single text {i} {i + 1} {i + 2}" for i in range(50)] + ["rare one two three four five"] * 2
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
-    monkeypatch.setattr(n, "HEAVY", 0.5)
-    sh, _ = n.heavy_shingles(df, "text")
-    doc, x, *_ = n.counted_shingles(texts)
-    values, df_ = np.unique(x, return_counts=True)
-    assert sh.tolist() == values[df_ >= 26].tolist()
+    monkeypatch.setattr(n, "CHUNK_ROWS", chunk)
+    got = {r.doc_id: r.class_id for r in n.classes(df).collect()}
+    assert [got[i] for i, _ in rows] == brute([t for _, t in rows])
 
 
 def test_weighted_samples_agree_as_often_as_sets_are_alike():
@@ -98,8 +84,7 @@ def test_nodes_of_one_key_meet_across_chunks(spark, monkeypatch):
             out.append(" ".join(words))
     rows = list(enumerate(out))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    heavy = n.heavy_shingles(df, "text")
-    wanted = brute(out, heavy)
+    wanted = brute(out)
     for chunk in (2, 3, 5):
         monkeypatch.setattr(n, "CHUNK_ROWS", chunk)
         got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
@@ -126,3 +111,26 @@ def test_every_shingle_has_its_document_frequency(spark, monkeypatch):
     # Equal weights make these 0.82 alike, true ones 0.78.
     got = {x.doc_id: x.class_id for x in n.classes(df.where("text is not null and doc_id >= 0")).collect()}
     assert all(got[i] == i for i in range(1004))
+
+
+def test_pairs_in_one_hot_key(spark, monkeypatch):
+    """Pairs that are alike among nodes that all share a long passage: none is lost, though the key takes many chunks."""
+    monkeypatch.setattr(n, "CHUNK_ROWS", 32)
+    r = random.Random(6)
+    text = lambda k: [f"w{r.randint(0, 10**6)}" for _ in range(k)]
+    passage, rows = text(600), []
+    for i in range(128):
+        own = passage + text(260)
+        other = own[:-30] + text(30)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
+    assert [got[i] for i, _ in rows] == brute([t for _, t in rows])
+    assert all(got[2 * i + 1] == 2 * i for i in range(128))
+
+
+def test_very_long_and_repeated_rows(spark):
+    r = random.Random(1)
+    long = " ".join(f"w{r.randint(0, 10**5)}" for _ in range(120_000))
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "y"), (2, long + " tail of it", None), (3, long[: len(long) // 2], None), (None, "n", "z")], "doc_id long, text string, label string")
+    assert sorted(map(tuple, n.classes(df).collect()), key=str) == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 1), (None, None, 1)]
