@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into words (lower-cased runs of letters and digits); every run of
-``K`` words has a Karp-Rabin polynomial hash; of each window of ``WINDOW``
+A text is cut into words (lower-cased runs of letters and digits; in scripts
+that don't part words by spaces every character is one); every run of ``K`` words has a Karp-Rabin polynomial hash; of each window of ``WINDOW``
 consecutive hashes the smallest is chosen, the rightmost of equal ones, and kept
 with its position.  Two texts that share a run of ``K + WINDOW - 1`` words or
 more therefore share a chosen hash.
@@ -12,14 +12,14 @@ grams, window minima): no row per word, no shuffle, no Python.
 Defined results: null text is the empty text; an empty text has the empty
 fingerprint; a text of symbols only counts as one word; fewer than ``K`` words
 make one gram; fewer than ``WINDOW`` grams make one window; the likeness of two
-empty fingerprints is 1, of an empty and another one 0.  Extra columns pass
-through, and the helper columns start with ``__fp_``.
+empty fingerprints is 1, of an empty and another one 0; equal hashes in a window
+give the rightmost; repeated rows have equal fingerprints; very long texts are
+read whole, in arrays of their own row.  Extra columns pass through, and the
+helper columns start with ``__fp_``.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,16 +30,21 @@ PRIME = 2147483647  # 2**31 - 1
 WORD_RANGE = 1 << 28  # a word's residue times a power of the base is under 2**59: MAX_TERMS of them fit a signed long
 MAX_TERMS = 12
 BASE = 1000003
+#: Scripts whose writing has no spaces between words.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW, unit: str = "word") -> DataFrame:
     """Add ``out``: array<long>, each a chosen hash and its position (see ``hashes`` and ``positions``).
 
-    unit "char" takes code points instead of words, for scripts without spaces.
+    unit "char" takes code points instead of words.
     """
     p = f"__fp_{out}"
     whole = F.coalesce(F.col(text), F.lit(""))
-    units = F.array_remove(F.split(F.lower(whole), r"[^\p{L}\p{N}]+" if unit == "word" else ""), "")
+    lower, gap = F.lower(whole), r"[^\p{L}\p{N}]+"
+    # Beside a character of an unspaced script a text is cut too.
+    words = F.when(lower.rlike(f"[{_UNSPACED}]"), F.split(lower, rf"{gap}|(?<=[{_UNSPACED}])|(?=[{_UNSPACED}])")).otherwise(F.split(lower, gap))
+    units = F.array_remove(words if unit == "word" else F.split(lower, ""), "")
     residue = lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_RANGE))
     df = df.withColumn(f"{p}_h", F.transform(units, residue))
     df = df.withColumn(f"{p}_h", F.when((F.size(f"{p}_h") == 0) & (whole != ""), F.array(residue(whole))).otherwise(F.col(f"{p}_h")))
@@ -85,20 +90,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def _bucket(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are <= key: searched in two levels of about sqrt(n) each."""
+def _bucket(key: Column, bounds: list[int], strict: bool = False) -> Column:
+    """How many of the ascending bounds are <= key (strict: below it), by halving; the bounds are one literal, however many."""
     if not bounds:
         return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    arr = lambda xs: F.array(*(F.lit(x) for x in xs))
-    coarse = F.size(F.filter(arr([g[0] for g in groups]), lambda b: b <= key))
-    fine = F.size(F.filter(F.element_at(F.array(*(arr(g) for g in groups)), F.greatest(coarse, F.lit(1))), lambda b: b <= key))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)
+    all_ = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+    def half(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(all_, mid)
+        up = (s["lo"] < s["hi"]) & ((at < key) if strict else (at <= key))
+        return F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.array(*(F.lit(i) for i in range(len(bounds).bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), half, lambda s: s["lo"])
 
 
 def with_next(df: DataFrame, key: str, text: str, steps, buckets: int | None = None) -> DataFrame:
-    """Add columns of the next row by descending key (after the last: the first's), in one shuffle.
+    """Add columns of the next row by descending key (after the last: the first's), in one shuffle. key: an integer column.
 
     steps(df, lead) adds them, with lead(column) as the next row's value; it may derive columns first.
 
@@ -115,9 +124,9 @@ def with_next(df: DataFrame, key: str, text: str, steps, buckets: int | None = N
     if top is not None and (not bounds or bounds[-1] < top):
         bounds.append(top)
     last = len(bounds) if quantiles["nulls"] else None
-    below = _bucket(F.col(key) - F.lit(1), bounds)  # integer keys: how many bounds are < key
+    below = _bucket(F.col(key), bounds, strict=True)
     df = df.withColumn("__fp_b", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below)).withColumn("__fp_ghost", F.lit(0))
-    head = F.col(key).isin(*bounds) if len(bounds) <= 64 else (_bucket(F.col(key), bounds) > F.col("__fp_b"))
+    head = _bucket(F.col(key), bounds) > F.col("__fp_b")
     # Descending, bucket b is followed by b - 1, the lowest one by the nulls' (-1) if there are any, the last by the highest.
     final = -1 if last is not None else 0
     ghosts = F.when(head, F.when(F.col("__fp_b") == len(bounds) - 1, F.lit(final)).otherwise(F.lit(None)))
