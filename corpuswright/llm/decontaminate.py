@@ -18,7 +18,10 @@ size, one scan of the documents for each block.
 
 Defined results: null texts and texts without words hold and match nothing;
 fewer than five words make one shingle of all; repeated rows are judged one by
-one; a null key is carried through; extra columns are kept by ``keep_clean``.
+one; keys may have any type and be null; where both keys have one name, the
+item's is ``item_`` and that name; ties don't arise (every pair is returned);
+very long texts are read whole; ``keep_clean`` keeps extra columns, whatever their
+names; an empty table has no rows, and no items leave all documents.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuswright.llm.store import lean
 from corpuswright.llm.words import Words, mix, pieces, shingles
@@ -145,8 +150,11 @@ def blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[tupl
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, item key, n_item (its shingles), n_common, containment of every pair of a document and an item that it holds."""
-    src = docs.select(F.col(key), F.col(text).alias("__text"))
-    schema = src.select(key).join(benchmark.select(item_key).limit(0), F.lit(True)).select(key, item_key, *(F.lit(0).cast("long").alias(c) for c in ("n_item", "n_common")), F.lit(0.0).alias("containment")).schema
+    src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    item = f"item_{item_key}" if item_key == key else item_key
+    kinds = [docs.schema[key].dataType, benchmark.schema[item_key].dataType, T.LongType(), T.LongType(), T.DoubleType()]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip((key, item, "n_item", "n_common", "containment"), kinds, strict=True)])
+    item_type = to_arrow_schema(T.StructType([schema[1]])).field(0).type
     out = None
     for keys, texts in blocks(benchmark, item_key, item_text):
 
@@ -156,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 items = items or Items(texts)
                 for i, _, own in pieces(b, "__text"):
                     found = items.search(own, threshold)
-                    columns = [b.column(key).take(pa.array([i + f[0] for f in found], pa.int64())), pa.array([keys[f[1]] for f in found], pa.int64() if isinstance(keys[0], int) else None)]
+                    columns = [b.column("__key").take(pa.array([i + f[0] for f in found], pa.int64())), pa.array([keys[f[1]] for f in found], item_type)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[3] / f[2] for f in found], pa.float64())], names=schema.names)
 
         part = src.mapInArrow(lean(run), schema)

@@ -257,3 +257,15 @@ def test_decontamination_equals_brute_force(spark):
     hits = {i for i, *_ in sorted(wanted) if i != 5}
     assert clean == [i for i in range(len(docs)) if i not in hits], "the second row with id 5 goes, the first stays"
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
+
+
+def test_decontamination_keys_of_any_type(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([("a", 1, text + " nine"), ("b", None, "clean"), (None, 3, text.upper() + " word" * 60_000), ("a", 1, text + " nine")], "id string, item_id int, text string")
+    for kind, keys in (("int", [None, 7]), ("string", [None, "x"]), ("date", [None, None]), ("array<int>", [[1], None])):
+        bench = spark.createDataFrame([(keys[0], text), (keys[1], text), (keys[1], None)], f"item_id {kind}, text string")
+        got = decontaminate.matches(docs, bench, key="id").collect()
+        assert Counter((r.id, str(r.item_id)) for r in got) == Counter((d, str(k)) for d in ("a", "a", None) for k in keys)
+        assert [r.id for r in decontaminate.keep_clean(docs, bench).collect()] == ["b"]
+    same = decontaminate.matches(docs, bench, key="item_id")
+    assert same.columns[:2] == ["item_id", "item_item_id"] and same.count() == 6
