@@ -35,6 +35,39 @@ def may_continue(total: Column) -> Column:
     return (total <= CONTINUE_MAX) & (total <= HARD_LIMIT - MARGIN)
 
 
+#: Hours of a domain's packing where nothing is known, dollars of an hour of packing, and of all packing where nothing is known.
+UNKNOWN_HOURS, PACK_HOUR, PACK_DEFAULT = 6.0, 1.05, 32.0
+
+
+def remaining_hours(status: Column, tokens: Column, elapsed: Column, target: Column) -> Column:
+    """Hours of packing that a domain still needs, at its speed so far; 0 when complete."""
+    known = (F.coalesce(tokens, F.lit(0)) > 0) & (F.coalesce(elapsed, F.lit(0)) > 0)
+    left = F.greatest(target - tokens, F.lit(0.0)) / (tokens / elapsed) / 3600.0
+    return F.when(status == "complete", 0.0).when(known, left).otherwise(F.lit(UNKNOWN_HOURS))
+
+
+def packing_cost(elapsed: Column) -> Column:
+    """An aggregate: dollars of all packing so far."""
+    total = F.coalesce(F.sum(elapsed), F.lit(0.0))
+    return F.when(total > 0, total / 3600.0 * PACK_HOUR).otherwise(F.lit(PACK_DEFAULT))
+
+
+def probation_failure(finite: Column, saved: Column, resumed: Column, rate: Column, total: Column) -> Column:
+    """The first rule that a trial run breaks; null if it may go on."""
+    return (
+        F.when(~finite, "non_finite_loss")
+        .when(~saved, "missing_or_invalid_checkpoint")
+        .when(~resumed, "checkpoint_reload_failed")
+        .when(rate <= 0, "no_measured_throughput")
+        .when(~may_continue(total), "projected_over_budget")
+    )
+
+
+def group_learning_rate(step: Column, peak: Column, first_peak: Column, warmup: int, total: int, floor: Column) -> Column:
+    """A parameter group's rate: its floor is to its peak as the floor is to the first group's peak."""
+    return learning_rate(step, peak, warmup, total, peak * floor / first_peak)
+
+
 def parameter_count(vocab: Column, width: Column, layers: Column, heads: Column, groups: Column, head_size: Column, inner: Column, tied: Column) -> Column:
     """Weights of a decoder with grouped queries, gated feed-forward, two norms a layer and per-head norms of queries and keys."""
     layer = width * (heads + groups * 2) * head_size + heads * head_size * width + head_size * 2 + width * 2 + width * inner * 3

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuswright.operators.filters import format_is_allowed, format_is_denied, is_full_dump_path
+from corpuswright.operators.filters import format_is_allowed, format_is_denied, is_eval_path, is_full_dump_path
 
 #: Statuses of security scans.
 HARD_DENY = ("unsafe", "infected", "malware", "unwanted")
@@ -18,18 +18,21 @@ def deny_matches(files: DataFrame, denylist: DataFrame) -> DataFrame:
 
     The two ways are two equi-joins, united; the least entry number wins.
     """
-    f = files.select("dataset_id", "path", F.lower("sha256").alias("sha256"))
-    d = denylist.select(F.col("dataset_id").alias("d_dataset"), F.col("path").alias("d_path"), F.lower("sha256").alias("d_sha"), "entry_ord")
-    by_path = f.join(d.where("d_path is not null"), (F.col("dataset_id") == F.col("d_dataset")) & (F.col("path") == F.col("d_path")))
+    slashes = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    f = files.select("dataset_id", "path", slashes(F.col("path")).alias("plain"), F.lower("sha256").alias("sha256"))
+    d = denylist.select(F.col("dataset_id").alias("d_dataset"), slashes(F.col("path")).alias("d_path"), F.lower("sha256").alias("d_sha"), "entry_ord")
+    by_path = f.join(d.where("d_path is not null"), (F.col("dataset_id") == F.col("d_dataset")) & (F.col("plain") == F.col("d_path")))
     by_sha = f.where("sha256 <> ''").join(d.where("d_sha <> ''"), F.col("sha256") == F.col("d_sha"))
     return by_path.unionByName(by_sha).groupBy("dataset_id", "path").agg(F.min("entry_ord").alias("deny_ord"))
 
 
 def lock_entries(lock: DataFrame) -> DataFrame:
-    """The first locked entry of each dataset and path. lock: source_ord, dataset_id, revision, path, sha256, status, reviewed."""
+    """The first locked entry of each dataset and path. lock: source_ord, dataset_id, revision, path, sha256, status, reviewed; av_status where known."""
+    if "av_status" not in lock.columns:
+        lock = lock.withColumn("av_status", F.lit(None).cast("string"))
     nth = F.row_number().over(Window.partitionBy("dataset_id", "path").orderBy("source_ord"))
     own = lock.withColumn("__n", nth).where("__n = 1")
-    return own.select("dataset_id", "path", F.col("sha256").alias("lock_sha"), F.col("status").alias("lock_status"), F.col("reviewed").alias("lock_reviewed"), F.lit(True).alias("locked"))
+    return own.select("dataset_id", "path", F.col("sha256").alias("lock_sha"), F.col("status").alias("lock_status"), F.col("av_status").alias("lock_av"), F.col("reviewed").alias("lock_reviewed"), F.lit(True).alias("locked"))
 
 
 def expected_revisions(lock: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def verdict_of(reviewed: bool = False) -> tuple[Column, Column]:
         ((F.coalesce("lock_sha", F.lit("")) != "") & (F.coalesce("sha256", F.lit("")) != "") & (F.lower("lock_sha") != F.lower("sha256")), "mismatch", "digest differs from the lock"),
         (status.isin(*HARD_DENY) | av.isin(*HARD_DENY), "denied", "scan"),
         ((status == "safe") | (av == "safe"), "approved", "scanned"),
-        ((F.lower(F.coalesce("lock_status", F.lit(""))) == "safe") & (status == "") & (av == ""), "approved", "pinned by the lock"),
+        (((F.lower(F.coalesce("lock_status", F.lit(""))) == "safe") | (F.lower(F.coalesce("lock_av", F.lit(""))) == "safe")) & (status == "") & (av == ""), "approved", "pinned by the lock"),
         ((status == "") & (av == ""), None, "not scanned"),
         (status.isin(*PENDING) | av.isin(*PENDING), None, "scan pending"),
     ]
@@ -80,6 +83,41 @@ def domain_audit(judged: DataFrame) -> DataFrame:
     return judged.groupBy("domain").agg(n("approved").alias("approved"), n("denied").alias("denied"), n("unresolved").alias("unresolved"), n("mismatch").alias("mismatch"), ((n("approved") > 0) & (n("unresolved") == 0) & (n("mismatch") == 0)).alias("passed"))
 
 
+def canaries(denylist: DataFrame, lock: DataFrame) -> DataFrame:
+    """The verdict of every entry of the deny list, judged as a file of its own (live metadata missing)."""
+    files = denylist.select(F.lit(None).cast("string").alias("domain"), "dataset_id", F.lit(None).cast("string").alias("revision"), "path", F.lit(None).cast("long").alias("size"), "sha256", F.lit(None).cast("string").alias("security_status"), F.lit(None).cast("string").alias("av_status"))
+    return verdicts(files.distinct(), denylist, lock).select("dataset_id", "path", "verdict")
+
+
+def audit_passes(audited: DataFrame, judged_canaries: DataFrame) -> DataFrame:
+    """One row, passed: every domain passes, and there are canaries, all of them denied."""
+    ok = judged_canaries.agg((F.count(F.lit(1)) > 0).alias("any"), F.coalesce(F.bool_and(F.col("verdict").eqNullSafe(F.lit("denied"))), F.lit(False)).alias("denied"))
+    return audited.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("domains")).join(F.broadcast(ok), F.lit(True)).select((F.col("domains") & F.col("any") & F.col("denied")).alias("passed"))
+
+
+def locked_verdicts(judged: DataFrame, lock: DataFrame) -> DataFrame:
+    """dataset_id, path, verdict of every locked file; unresolved where the live listing lacks it."""
+    own = lock.select("dataset_id", "path").distinct()
+    return own.join(judged.select("dataset_id", "path", "verdict"), ["dataset_id", "path"], "left").select("dataset_id", "path", F.coalesce("verdict", F.lit("unresolved")).alias("verdict"))
+
+
+def pinned(candidates: DataFrame, floor: int) -> DataFrame:
+    """The files that a lock pins, by domain. candidates: domain, role (primary, supplement, fallback), source_ord, dataset_id, path, size, verdict, budget (bytes of a source, null: no end).
+
+    Of each source the approved files that are no test splits, in order of
+    their paths, until one would exceed the budget (the first always stays).
+    Supplements stay where the primary sources have fewer than ``floor`` bytes;
+    fallbacks where nothing else has a file, and then only the first source that has.
+    """
+    source = ["domain", "role", "source_ord", "dataset_id"]
+    good = candidates.where((F.col("verdict") == "approved") & ~is_eval_path(F.col("path"))).withColumn("size", F.coalesce("size", F.lit(0))).withColumn("__source", F.concat_ws(" ", *source))
+    files = within_budget(good, "__source", "path", "size", F.coalesce("budget", F.lit(1 << 62))).drop("__source")
+    own = files.groupBy("domain").agg(F.coalesce(F.sum(F.when(F.col("role") == "primary", F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("role") == "primary").alias("n"), F.count_if(F.col("role") == "supplement").alias("more"), F.min(F.when(F.col("role") == "fallback", F.col("source_ord"))).alias("first"))
+    short = F.col("bytes") < floor
+    stays = (F.col("role") == "primary") | (F.col("role") == "supplement") & short | (F.col("role") == "fallback") & (F.col("n") + F.when(short, F.col("more")).otherwise(0) == 0) & (F.col("source_ord") == F.col("first"))
+    return files.join(own, "domain").where(stays).select(*source, "path", "size")
+
+
 def missing_live(lock: DataFrame, live: DataFrame) -> DataFrame:
     """Locked files that the live listing lacks."""
     return lock.join(live.select("dataset_id", "path"), ["dataset_id", "path"], "left_anti")

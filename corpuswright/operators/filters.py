@@ -78,7 +78,8 @@ def format_is_denied(path: Column) -> Column:
 
 
 def is_full_dump_path(dataset: Column, path: Column) -> Column:
-    return F.contains(dataset, F.lit("fineweb-edu")) & F.startswith(path, F.lit("data/CC-MAIN"))
+    """A path of the whole web dump, in any case of the dataset's name and with either slash."""
+    return F.contains(F.lower(F.coalesce(dataset, F.lit(""))), F.lit("fineweb-edu")) & F.startswith(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), F.lit("data/CC-MAIN"))
 
 
 def counters(docs: DataFrame, group: str, accepted: Column, validation: Column, duplicate: Column, unencodable: Column, tokens: Column) -> DataFrame:

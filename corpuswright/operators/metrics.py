@@ -83,3 +83,27 @@ def choose_tokenizer(ratios: DataFrame, weights: DataFrame) -> DataFrame:
 def keep_last(names: DataFrame, group: str, name: str, n: int = 3) -> DataFrame:
     """The last n by name."""
     return names.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(name)))).where(F.col("__n") <= n).drop("__n")
+
+
+def first_mean(log: DataFrame, group: str, order: str, value: str, k: int) -> DataFrame:
+    """The mean of each group's first k values; NaN would be that of none, so a group without values has no row."""
+    w = Window.partitionBy(group).orderBy(order)
+    return log.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def timings(log: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean and median of each group's values."""
+    return log.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
+
+
+def training_extremes(log: DataFrame, group: str, loss: str, norm: str) -> DataFrame:
+    """The least loss and the largest finite gradient norm of each group."""
+    finite = F.when(~F.isnan(norm) & (F.abs(norm) != float("inf")), F.col(norm))
+    return log.groupBy(group).agg(F.min(loss).alias("least_loss"), F.max(finite).alias("most_norm"))
+
+
+def compare_curves(log: DataFrame, marks: list[int], order: str, value: str, group: str, a: str, b: str) -> DataFrame:
+    """mark, the values of a and b nearest to it (ties: the earlier), and b less a."""
+    both = nearest(log.where(F.col(group).isin(a, b)).withColumn("__at", F.col(order)), marks, order, value, group, "__at")
+    of = lambda x: F.max(F.when(F.col(group) == x, F.col(value)))
+    return both.groupBy("mark").agg(of(a).alias("a"), of(b).alias("b")).withColumn("delta", F.col("b") - F.col("a"))

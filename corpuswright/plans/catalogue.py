@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuswright.functions import formulas as fx
 from corpuswright.functions.text import byte_tokens, content_sha256, in_val_bucket, is_blank, normalize_url, sanitize, source_key, strip, training_pieces
-from corpuswright.operators import admission, dedup, filters, metrics, mixture, packing, spans, split
-from corpuswright.sources import scans
+from corpuswright.operators import admission, dedup, filters, metrics, mixture, packing, spans, split, streams, validate
+from corpuswright.sources import listing, scans
 from corpuswright.sources.tables import written
 
 QUERIES: dict = {}
@@ -67,8 +68,8 @@ def mapping(values: dict[str, float | int], key: Column) -> Column:
 
 
 PREP = r"""
-p AS (SELECT lang AS domain, source AS language, doc_id AS seq, text, CAST(strlen(text) + 1 AS BIGINT) AS n,
-  sha256(regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '')) AS sha256 FROM documents WHERE trim(text) <> ''),
+p AS (SELECT lang AS domain, source AS language, doc_id AS seq, nfc_normalize(text) AS text, CAST(strlen(nfc_normalize(text)) + 1 AS BIGINT) AS n,
+  sha256(regexp_replace(regexp_replace(nfc_normalize(text), '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '')) AS sha256 FROM documents WHERE trim(text) <> ''),
 f AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY seq) = 1 AS is_first, first_value(domain) OVER (PARTITION BY sha256 ORDER BY seq) AS first_domain,
   (CAST('0x' || substr(sha256, 15, 2) AS INTEGER) % 64) = 0 AS in_val FROM p),
 u AS (SELECT * FROM f WHERE is_first)
@@ -135,7 +136,11 @@ def nfc_sanitize(spark, sf_dir):
     return sanitize(d).select("doc_id", (F.col("text") == F.col("before")).alias("same"), F.length("text").alias("n_chars"))
 
 
-@query("SELECT doc_id, CAST(len(x) AS INTEGER) AS n_pieces, CAST(list_sum(list_transform(x, lambda y: length(y))) AS BIGINT) AS n_chars FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda z: trim(z, ' ' || chr(10))), lambda y: length(y) >= 4) AS x FROM documents WHERE length(text) < 50000)")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, i, trim(x[i], ' ' || chr(10)) AS t FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) AS i FROM documents)),
+c AS (SELECT doc_id, i, NULL::VARCHAR AS piece, t AS rest FROM p UNION ALL
+  SELECT doc_id, i, CASE WHEN length(rest) <= 50000 THEN rest ELSE rest[1:q - 1] END, CASE WHEN length(rest) > 50000 THEN rest[q:] END FROM (SELECT *, CASE WHEN contains(rest[2:50000], chr(10)) THEN 50001 - strpos(reverse(rest[2:50000]), chr(10)) WHEN contains(rest[2:50000], ' ') THEN 50001 - strpos(reverse(rest[2:50000]), ' ') ELSE 50001 END AS q FROM c WHERE rest IS NOT NULL AND rest <> '')),
+d AS (SELECT doc_id, length(trim(piece, ' ' || chr(10))) AS n FROM c WHERE piece IS NOT NULL)
+SELECT doc_id, CAST(coalesce((SELECT count(*) FROM d WHERE d.doc_id = e.doc_id AND n >= 4), 0) AS INTEGER) AS n_pieces, (SELECT CAST(sum(n) AS BIGINT) FROM d WHERE d.doc_id = e.doc_id AND n >= 4) AS n_chars FROM documents e WHERE text IS NOT NULL""")
 def training_piece_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", training_pieces("text").alias("x"))
     return d.select("doc_id", F.size("x").alias("n_pieces"), F.when(F.size("x") > 0, F.aggregate("x", F.lit(0).cast("long"), lambda a, y: a + F.length(y))).alias("n_chars"))
@@ -309,11 +314,27 @@ def window_doc_map(spark, sf_dir):
     return packing.window_map(packing.offsets(unique(spark, sf_dir), ["domain"]), LENGTH).select("domain", "seq", "window", "from", "to")
 
 
+def _byte_ids(batches):
+    """The byte model's ids, byte + 4 and the end token 2, of sanitised texts: as numbers and as 16-bit little-endian bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        raw = [np.append(np.frombuffer(x.as_buffer(), np.uint8).astype("<u2") + 4, packing.END).astype("<u2") for x in b.column("text")]
+        flat = np.concatenate(raw) if raw else np.zeros(0, "<u2")
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, raw)]).astype(np.int32), pa.array(flat.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column("seq"), lists, pa.array([x.tobytes() for x in raw], pa.binary())], names=["seq", "ids", "data"])
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, ids, data of every document with a text."""
+    d = sanitize(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")).where(~is_blank("text"))
+    return d.mapInArrow(_byte_ids, "seq long, ids array<int>, data binary")
+
+
 def _with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique documents with the byte model's ids: byte + 4, end token 2."""
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
-    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int") + 4)
-    return packing.offsets(unique(spark, sf_dir), ["domain"]).join(text, "seq").select("domain", "seq", "offset", "n", F.concat(ids, F.array(F.lit(packing.END))).alias("ids"))
+    """Unique documents with their ids."""
+    return packing.offsets(unique(spark, sf_dir), ["domain"]).join(_ids(spark, sf_dir).select("seq", "ids"), "seq").select("domain", "seq", "offset", "n", "ids")
 
 
 @query(f"""WITH {PREP}, o AS (SELECT domain, n, CAST(coalesce(sum(n) OVER (PARTITION BY domain ORDER BY seq {BEFORE}), 0) AS BIGINT) AS o, hex(encode(text)) AS x FROM u),
@@ -526,15 +547,79 @@ def config_grid(spark, sf_dir):
     return lr.withColumn("wd", F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.2)))))
 
 
+@query("SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 25 GROUP BY event_type")
+def first_losses_mean(spark, sf_dir):
+    return metrics.first_mean(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 25).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events GROUP BY event_type")
+def value_timings(spark, sf_dir):
+    return metrics.timings(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+@query("SELECT user_id, min(value) AS least_loss, CAST(max(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS most_norm FROM events GROUP BY user_id")
+def training_extremes(spark, sf_dir):
+    d = table(spark, sf_dir, "events").withColumn("norm", F.get_json_object("props", "$.k").cast("double"))
+    return metrics.training_extremes(d, "user_id", "value", "norm")
+
+
+@query(f"""WITH n AS (SELECT event_type, mark, value, row_number() OVER (PARTITION BY event_type, mark ORDER BY abs(event_id - mark), event_id) AS k FROM events, (SELECT unnest({MARKS}) AS mark) WHERE event_type IN ('view', 'click'))
+SELECT mark, max(value) FILTER (event_type = 'view') AS a, max(value) FILTER (event_type = 'click') AS b, max(value) FILTER (event_type = 'click') - max(value) FILTER (event_type = 'view') AS delta FROM n WHERE k = 1 GROUP BY mark""")
+def curve_comparison(spark, sf_dir):
+    return metrics.compare_curves(table(spark, sf_dir, "events"), MARKS, "event_id", "value", "event_type", "view", "click")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'non_finite_loss' WHEN o_orderkey % 11 = 0 THEN 'missing_or_invalid_checkpoint' WHEN o_orderkey % 7 = 0 THEN 'checkpoint_reload_failed' WHEN r <= 0 THEN 'no_measured_throughput' WHEN o_custkey = 0 OR o_custkey * 1000000 / nullif(r, 0) / 3600 * 2.1 + 34 > 98 THEN 'projected_over_budget' END AS failure FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END AS r FROM orders)""")
+def probation_failures(spark, sf_dir):
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").withColumn("r", F.when(k % 5 == 0, 0.0).otherwise(F.col("o_totalprice")))
+    total = fx.projected_cost(F.lit(12.0), F.lit(20.0), F.col("o_custkey") * 1_000_000, F.col("r"))
+    return d.select("o_orderkey", fx.probation_failure(k % 13 != 0, k % 11 != 0, k % 7 != 0, F.col("r"), total).alias("failure"))
+
+
+@query("""SELECT o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_custkey % 10 = 0 THEN 6 ELSE greatest(400000 - o_totalprice, 0) / (o_totalprice / o_custkey) / 3600 END), 4) AS hours, round(CASE WHEN sum(o_custkey) > 0 THEN sum(o_custkey) / 3600 * 1.05 ELSE 32 END, 4) AS spent FROM orders GROUP BY o_orderpriority""")
+def packing_costs(spark, sf_dir):
+    d = table(spark, sf_dir, "orders")
+    status, elapsed = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("in_progress"), F.when(F.col("o_custkey") % 10 == 0, 0).otherwise(F.col("o_custkey"))
+    hours = fx.remaining_hours(status, F.col("o_totalprice"), elapsed, F.lit(400_000.0))
+    return d.groupBy("o_orderpriority").agg(F.round(F.sum(hours), 4).alias("hours"), F.round(fx.packing_cost(F.col("o_custkey")), 4).alias("spent"))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 20 THEN p * i / 20 WHEN i > 200 THEN p * 0.1 ELSE p * 0.1 + (p - p * 0.1) * 0.5 * (1 + cos(pi() * (i - 20) / 180)) END, 9) AS lr, CAST(p AS DOUBLE) AS peak FROM range(0, 221) AS t(i), (SELECT unnest([6e-4, 0.02]) AS p)""")
+def group_learning_rates(spark, sf_dir):
+    d = spark.range(221).withColumn("peak", F.explode(F.array(F.lit(6e-4), F.lit(0.02))))
+    return d.select(F.col("id").alias("step"), F.round(fx.group_learning_rate(F.col("id"), F.col("peak"), F.lit(6e-4), 20, 200, F.lit(6e-5)), 9).alias("lr"), "peak")
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN n > 0 THEN CASE WHEN c + n <= 512 THEN c WHEN c + n - 512 >= c THEN 1 ELSE 512 - n END END AS BIGINT) AS context, CAST(CASE WHEN n > 0 THEN CASE WHEN c + n > 512 AND n >= 512 THEN 511 ELSE n END END AS BIGINT) AS continuation FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n, CAST(doc_id % 700 + 1 AS BIGINT) AS c FROM documents)""")
+def eval_truncation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), (F.col("doc_id") % 700 + 1).cast("long").alias("c"))
+    context, continuation = packing.truncated(F.col("c"), F.col("n"), 512)
+    return d.select("doc_id", context.cast("long").alias("context"), continuation.cast("long").alias("continuation"))
+
+
+@query(f"""WITH {PREP}, k AS (SELECT domain, sum(n) - sum(n) % {LENGTH + 1} AS kept FROM u WHERE in_val GROUP BY domain) SELECT domain, CAST(0 AS BIGINT) AS shard, CAST(kept AS BIGINT) AS n_tokens FROM k WHERE kept > 0""")
+def val_shard_cuts(spark, sf_dir):
+    quota = 1 << 40  # all of validation: one shard, whatever the training shards' size
+    d = dedup.mark_content_duplicates(prepared(spark, sf_dir)).where("is_first and in_val")
+    return packing.shard_cuts(d, ["domain"], packing.val_shard_tokens(SHARD, quota, LENGTH), LENGTH)
+
+
+@query("SELECT doc_id, coalesce(trim(text) <> '' AND length(text) <= 3000, false) AS usable FROM documents")
+def usable_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", filters.is_usable(F.col("text"), 3000).alias("usable"))
+
+
 # ---- admission ------------------------------------------------------------
 
 FILES = [
     ("general", "web", "r1", "data/a.parquet", 100, "aa", "safe", None), ("general", "web", "r1", "data/b.parquet", 250, "bb", "unsafe", None), ("general", "web", "r2", "data/c.parquet", 300, "cc", "safe", None),
     ("math", "m", "r1", "x.parquet", 400, "dd", None, None), ("math", "m", "r1", "y.parquet", 500, "ee", "queued", "safe"), ("math", "m", "r1", "z.pkl", 10, "ff", "safe", None),
+    ("general", "HuggingFaceFW/FineWeb-Edu", "r1", "data\\CC-MAIN-2020-05/x.parquet", 60, "a1", "safe", None), ("general", "web", "r1", "data\\zzz.parquet", 61, "a2", "safe", None), ("math", "m", "r1", "w.parquet", 62, "a3", None, None), ("science", "s", "r1", "v.exe", 63, "a4", "safe", "safe"), ("science", "s", "r1", "k.csv", 64, "a5", None, "infected"),
     ("code", "c", "r1", "p.json.gz", 20, "bad", "safe", None), ("code", "c", "r1", "q.csv", 30, "11", None, None), ("science", "s", "r1", "t.jsonl", 40, "99", "strange", None), ("science", "s", "r1", "u.txt", 50, "", "scanning", ""),
 ]
 DENY = [("web", "data/zzz.parquet", None, 0), ("other", "k.parquet", "BAD", 1)]
-LOCK = [(0, "web", "r1", "data/a.parquet", "AA", "safe", False), (0, "c", "r1", "q.csv", "11", "safe", False), (0, "m", "r1", "x.parquet", "zz", "safe", False), (1, "s", "r1", "u.txt", "", None, True)]
+LOCK = [(0, "web", "r1", "data/a.parquet", "AA", "safe", False, None), (0, "c", "r1", "q.csv", "11", "safe", False, None), (0, "m", "r1", "x.parquet", "zz", "safe", False, None), (1, "s", "r1", "u.txt", "", None, True, None), (0, "m", "r1", "w.parquet", "a3", None, False, "SAFE"), (0, "m", "r1", "gone.parquet", "a6", "safe", False, None)]
 
 
 def _sql_rows(rows: list[tuple]) -> str:
@@ -543,19 +628,23 @@ def _sql_rows(rows: list[tuple]) -> str:
 
 
 _VERDICTS = f"""WITH fi AS (SELECT * FROM (VALUES {_sql_rows(FILES)}) AS t(domain, dataset_id, revision, path, size, sha256, ss, av)), de AS (SELECT * FROM (VALUES {_sql_rows(DENY)}) AS t(ds, p, sh, o)),
-lo AS (SELECT * FROM (VALUES {_sql_rows(LOCK)}) AS t(o, ds, rev, p, sh, st, reviewed)),
-j AS (SELECT fi.*, lo.sh AS lsh, lo.st AS lst, coalesce(lo.reviewed, false) AS ok, (SELECT min(rev) FROM lo l2 WHERE l2.ds = fi.dataset_id) AS lrev, lower(coalesce(ss, '')) AS s, lower(coalesce(av, '')) AS a,
- EXISTS (SELECT 1 FROM de WHERE (de.ds = fi.dataset_id AND (de.p = fi.path OR lower(de.sh) = lower(fi.sha256))) OR (de.ds <> fi.dataset_id AND lower(de.sh) = lower(fi.sha256))) AS d
+lo AS (SELECT * FROM (VALUES {_sql_rows(LOCK)}) AS t(o, ds, rev, p, sh, st, reviewed, lav)),
+j AS (SELECT fi.*, lo.sh AS lsh, lo.st AS lst, lower(coalesce(lo.lav, '')) AS lav, coalesce(lo.reviewed, false) AS ok, (SELECT min(rev) FROM lo l2 WHERE l2.ds = fi.dataset_id) AS lrev, lower(coalesce(ss, '')) AS s, lower(coalesce(av, '')) AS a,
+ EXISTS (SELECT 1 FROM de WHERE (de.ds = fi.dataset_id AND (replace(de.p, '\\', '/') = replace(fi.path, '\\', '/') OR lower(de.sh) = lower(fi.sha256))) OR (de.ds <> fi.dataset_id AND lower(de.sh) = lower(fi.sha256))) AS d
  FROM fi LEFT JOIN lo ON lo.ds = fi.dataset_id AND lo.p = fi.path),
-v AS (SELECT domain, dataset_id, path, size, CASE WHEN lrev IS NOT NULL AND revision <> lrev THEN 'mismatch' WHEN d THEN 'denied' WHEN path LIKE '%.pkl' THEN 'denied'
- WHEN coalesce(lsh, '') <> '' AND sha256 <> '' AND lower(lsh) <> lower(sha256) THEN 'mismatch' WHEN s IN ('unsafe', 'infected', 'malware', 'unwanted') THEN 'denied' WHEN s = 'safe' OR a = 'safe' THEN 'approved'
- WHEN lst = 'safe' AND s = '' AND a = '' THEN 'approved' WHEN ok THEN 'approved' ELSE 'unresolved' END AS verdict FROM j)"""
+v AS (SELECT domain, dataset_id, path, size, CASE WHEN lrev IS NOT NULL AND revision <> lrev THEN 'mismatch' WHEN d THEN 'denied' WHEN lower(dataset_id) LIKE '%fineweb-edu%' AND starts_with(replace(path, '\\', '/'), 'data/CC-MAIN') THEN 'denied' WHEN path LIKE '%.pkl' OR path LIKE '%.exe' THEN 'denied'
+ WHEN coalesce(lsh, '') <> '' AND sha256 <> '' AND lower(lsh) <> lower(sha256) THEN 'mismatch' WHEN s IN ('unsafe', 'infected', 'malware', 'unwanted') OR a IN ('unsafe', 'infected', 'malware', 'unwanted') THEN 'denied' WHEN s = 'safe' OR a = 'safe' THEN 'approved'
+ WHEN (lst = 'safe' OR lav = 'safe') AND s = '' AND a = '' THEN 'approved' WHEN ok THEN 'approved' ELSE 'unresolved' END AS verdict FROM j)"""
+
+
+LOCK_SCHEMA = "source_ord int, dataset_id string, revision string, path string, sha256 string, status string, reviewed boolean, av_status string"
+DENY_SCHEMA = "dataset_id string, path string, sha256 string, entry_ord int"
 
 
 def _judged(spark: SparkSession) -> DataFrame:
     files = spark.createDataFrame(FILES, "domain string, dataset_id string, revision string, path string, size long, sha256 string, security_status string, av_status string")
-    deny = spark.createDataFrame(DENY, "dataset_id string, path string, sha256 string, entry_ord int")
-    lock = spark.createDataFrame(LOCK, "source_ord int, dataset_id string, revision string, path string, sha256 string, status string, reviewed boolean")
+    deny = spark.createDataFrame(DENY, DENY_SCHEMA)
+    lock = spark.createDataFrame(LOCK, LOCK_SCHEMA)
     return admission.verdicts(files, deny, lock)
 
 
@@ -581,6 +670,133 @@ def lock_round_trip(spark, sf_dir):
     return admission.flat_lock(admission.lock_of(_judged(spark).where("verdict = 'approved'"))).select("dataset_id", "path", "size")
 
 
+@query("SELECT dataset_id, path, 'denied' AS verdict FROM (VALUES ('web', 'data/zzz.parquet'), ('other', 'k.parquet')) AS t(dataset_id, path)")
+def deny_canaries(spark, sf_dir):
+    return admission.canaries(spark.createDataFrame(DENY, DENY_SCHEMA), spark.createDataFrame(LOCK, LOCK_SCHEMA))
+
+
+@query("SELECT false AS passed")
+def audit_with_canaries(spark, sf_dir):
+    return admission.audit_passes(admission.domain_audit(_judged(spark)), admission.canaries(spark.createDataFrame(DENY, DENY_SCHEMA), spark.createDataFrame(LOCK, LOCK_SCHEMA)))
+
+
+@query(f"{_VERDICTS} SELECT DISTINCT lo.ds AS dataset_id, lo.p AS path, coalesce(v.verdict, 'unresolved') AS verdict FROM lo LEFT JOIN v ON v.dataset_id = lo.ds AND v.path = lo.p")
+def locked_file_verdicts(spark, sf_dir):
+    return admission.locked_verdicts(_judged(spark), spark.createDataFrame(LOCK, LOCK_SCHEMA))
+
+
+@query("""WITH c AS (SELECT lang AS domain, CASE source WHEN (SELECT min(source) FROM documents) THEN 'primary' WHEN (SELECT max(source) FROM documents) THEN 'supplement' ELSE 'fallback' END AS role, CAST(substr(md5(source), 1, 1) <= '7' AS INTEGER) AS source_ord, source AS dataset_id,
+  CASE WHEN doc_id % 11 = 0 THEN 'test-' ELSE 'part-' END || doc_id || '.parquet' AS path, strlen(text) AS size FROM documents WHERE doc_id % 5 <> 0),
+g AS (SELECT *, coalesce(sum(size) OVER w, 0) AS b, row_number() OVER (PARTITION BY domain, role, source_ord, dataset_id ORDER BY path) AS k FROM c WHERE path NOT LIKE 'test-%' WINDOW w AS (PARTITION BY domain, role, source_ord, dataset_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT domain, role, source_ord, dataset_id, min(k) AS k FROM g WHERE k > 1 AND b + size > 9000 GROUP BY ALL),
+f AS (SELECT g.* FROM g LEFT JOIN e USING (domain, role, source_ord, dataset_id) WHERE e.k IS NULL OR g.k < e.k),
+o AS (SELECT domain, coalesce(sum(size) FILTER (role = 'primary'), 0) AS bytes, count(*) FILTER (role = 'primary') AS n, count(*) FILTER (role = 'supplement') AS more, min(source_ord) FILTER (role = 'fallback') AS first FROM f GROUP BY domain)
+SELECT domain, role, source_ord, dataset_id, path, size FROM f JOIN o USING (domain) WHERE role = 'primary' OR role = 'supplement' AND bytes < 8000 OR role = 'fallback' AND n + CASE WHEN bytes < 8000 THEN more ELSE 0 END = 0 AND source_ord = first""")
+def pinned_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ends = d.agg(F.min("source").alias("low"), F.max("source").alias("high"))
+    role = F.when(F.col("source") == F.col("low"), "primary").when(F.col("source") == F.col("high"), "supplement").otherwise("fallback")
+    path = F.concat(F.when(F.col("doc_id") % 11 == 0, "test-").otherwise("part-"), F.col("doc_id").cast("string"), F.lit(".parquet"))
+    files = d.join(F.broadcast(ends), F.lit(True)).select(F.col("lang").alias("domain"), role.alias("role"), (F.substring(F.md5("source"), 1, 1) <= "7").cast("int").alias("source_ord"), F.col("source").alias("dataset_id"), path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.when(F.col("doc_id") % 5 == 0, "denied").otherwise("approved").alias("verdict"), F.lit(9000).alias("budget"))
+    return admission.pinned(files, 8000)
+
+
+@query("""SELECT page_id, trim(d) <> '' AND d NOT IN ('HuggingFaceFW/fineweb', 'HuggingFaceFW/fineweb-2') AND NOT (lower(d) LIKE 'huggingfacefw/fineweb%' AND lower(d) NOT LIKE '%fineweb-edu%') AS dataset_ok,
+  trim(d) <> '' AND d NOT IN ('HuggingFaceFW/fineweb', 'HuggingFaceFW/fineweb-2') AND NOT (lower(d) LIKE 'huggingfacefw/fineweb%' AND lower(d) NOT LIKE '%fineweb-edu%') AND (d <> 'HuggingFaceFW/fineweb-edu' OR starts_with(replace(p, '\\', '/'), 'sample/10BT')) AS prefix_ok
+FROM (SELECT page_id, ['HuggingFaceFW/fineweb', 'HuggingFaceFW/fineweb-edu', 'huggingfacefw/FineWeb-x', ' ', 'own/pages'][1 + page_id % 5] AS d, CASE WHEN page_id % 3 = 0 THEN 'sample\\10BT/' ELSE 'data/' END || url AS p FROM pages)""".replace("\\\\", "\\"))
+def listing_guards(spark, sf_dir):
+    names = F.array(*map(F.lit, ("HuggingFaceFW/fineweb", "HuggingFaceFW/fineweb-edu", "huggingfacefw/FineWeb-x", " ", "own/pages")))
+    d = table(spark, sf_dir, "pages").select("page_id", F.element_at(names, (F.col("page_id") % 5 + 1).cast("int")).alias("d"), F.concat(F.when(F.col("page_id") % 3 == 0, "sample\\10BT/").otherwise("data/"), "url").alias("p"))
+    return d.select("page_id", listing.dataset_is_allowed(F.col("d")).alias("dataset_ok"), listing.prefix_is_allowed(F.col("d"), F.col("p")).alias("prefix_ok"))
+
+
+@query("""SELECT path FROM (SELECT 'sample/' || CASE WHEN page_id % 2 = 0 THEN '10BT/' ELSE '100BT/' END || page_id || CASE WHEN page_id % 4 = 0 THEN '.parquet' ELSE '.txt' END AS path FROM pages) WHERE starts_with(path, 'sample/10BT') AND path LIKE '%.parquet'""")
+def listed_files(spark, sf_dir):
+    path = F.concat(F.lit("sample/"), F.when(F.col("page_id") % 2 == 0, "10BT/").otherwise("100BT/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 0, ".parquet").otherwise(".txt"))
+    files = table(spark, sf_dir, "pages").select(F.lit(listing.BOUND_DATASET).alias("dataset_id"), path.alias("path"))
+    return listing.listed(files, listing.BOUND_DATASET, "sample/10BT").select("path")
+
+
+@query("""SELECT shard, row_index, 's2:' || row_index AS key FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY row_index) AS k FROM (SELECT doc_id % 12 AS shard, doc_id AS row_index, CASE WHEN doc_id % 7 < 5 THEN 's2orc/train' ELSE 's2ag' END AS source, text FROM documents) WHERE shard IN (10, 11) AND trim(text) <> '' AND source LIKE 's2orc%') WHERE k <= 9""")
+def paper_shard_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 12).alias("shard"), F.col("doc_id").alias("row_index"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 < 5, "s2orc/train").otherwise("s2ag").alias("source"), "text")
+    return listing.paper_rows(d, [10, 11], 9).select("shard", "row_index", F.col("source_keys")[0].alias("key"))
+
+
+@query(f"SELECT native_id, source_keys FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE url END AS native_id, CASE WHEN page_id % 2 = 0 THEN 'url:' || url_norm || ' id:' || page_id ELSE 'url:' || url_norm END AS source_keys FROM ({URL_SQL}) JOIN (SELECT page_id, url, html FROM pages) USING (page_id) WHERE trim(html) <> '')")
+def web_source_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).alias("id"), "url", F.col("html").alias("text"), F.col("page_id").alias("seq"))
+    return scans.web_documents(d).select("native_id", F.concat_ws(" ", "source_keys").alias("source_keys"))
+
+
+# ---- packed streams -------------------------------------------------------
+
+STREAM_SHARD, STREAM_LENGTH = 40_000, 127
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> str:
+    """Documents packed whole into the shards of streams (domain; every eighth is validation); their folder."""
+    from corpuswright.sources.tables import new_dir, qualified
+
+    folder = qualified(spark, new_dir(spark, "packed"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("domain"))
+    d = d.join(_ids(spark, sf_dir).withColumnRenamed("seq", "doc_id"), "doc_id")
+    split = F.when(F.col("doc_id") % 8 == 0, "val").otherwise("train")
+    rows = d.select("domain", split.alias("split"), F.col("doc_id").alias("shard"), F.lit(0).cast("long").alias("at"), F.expr("substring(data, 1, octet_length(data) - 2)").alias("data"), F.lit(True).alias("closed"))
+    streams.write(rows, folder, STREAM_SHARD, STREAM_LENGTH).agg(F.sum("n_tokens")).first()  # one number: the files are what counts
+    return folder
+
+
+_W = packing.shard_width(STREAM_SHARD, STREAM_LENGTH)
+STREAM_SQL = f"""d AS (SELECT coalesce(lang, 'none') AS domain, CASE WHEN doc_id % 8 = 0 THEN 'val' ELSE 'train' END AS split, doc_id, nfc_normalize(text) AS text, CAST(strlen(nfc_normalize(text)) AS BIGINT) AS n FROM documents WHERE trim(text) <> ''),
+o AS (SELECT *, sum(n + 1) OVER (PARTITION BY domain, split ORDER BY doc_id) AS stop FROM d),
+k AS (SELECT domain, split, CAST(max(stop) - max(stop) % {STREAM_LENGTH + 1} AS BIGINT) AS kept FROM o GROUP BY ALL),
+c AS (SELECT o.*, kept, CAST((stop - 1) // {_W} AS BIGINT) AS shard FROM o JOIN k USING (domain, split) WHERE stop <= kept),
+f AS (SELECT *, row_number() OVER w AS nth, first_value(n) OVER w AS first_n FROM c WINDOW w AS (PARTITION BY domain, split, text ORDER BY doc_id))"""
+
+
+@query(f"""WITH {STREAM_SQL}, s AS (SELECT domain, split, kept, unnest(range(1, CAST((kept + {_W - 1}) // {_W} AS BIGINT))) AS b FROM k WHERE kept > 0),
+t AS (SELECT s.domain, s.split, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.domain = s.domain AND c.split = s.split AND c.stop = s.b * {_W}) GROUP BY ALL),
+a AS (SELECT domain, split, count(*) AS n_docs, count(*) FILTER (nth = 1) AS n_unique, count(*) FILTER (nth > 1) AS n_collisions, count(*) FILTER (nth > 1 AND least(n, first_n) < 32) AS n_short_collisions, min(shard) FILTER (nth > 1 AND least(n, first_n) >= 32) AS first_collision, CAST(max(kept) - max(stop) AS BIGINT) AS n_unclosed_tokens FROM f GROUP BY ALL)
+SELECT a.*, CAST((kept + {_W - 1}) // {_W} AS BIGINT) AS n_shards, coalesce(t.n, 0) AS n_stitched_shards FROM a JOIN k USING (domain, split) LEFT JOIN t USING (domain, split)""")
+def packed_stream_audit(spark, sf_dir):
+    rows = streams.shards(spark, _streams(spark, sf_dir))
+    return streams.audit(streams.documents(rows).drop("data"), rows)
+
+
+@query(f"WITH {STREAM_SQL} SELECT domain, shard, split, CAST(stop - n - 1 AS BIGINT) AS place, n AS n_tokens FROM c")
+def packed_stream_documents(spark, sf_dir):
+    d = streams.documents(streams.shards(spark, _streams(spark, sf_dir))).where("closed")
+    end = F.sum(F.col("n_tokens") + 1).over(Window.partitionBy("domain", "split").orderBy("shard", "at"))
+    return d.withColumn("place", end - F.col("n_tokens") - 1).select("domain", "shard", "split", "place", "n_tokens")
+
+
+@query(f"WITH {STREAM_SQL} SELECT a.domain, count(*) AS leaks, count(*) FILTER (a.n >= 32) AS substantial FROM (SELECT DISTINCT domain, text, n FROM c WHERE split = 'train') a JOIN (SELECT DISTINCT domain, text FROM c WHERE split = 'val') b USING (domain, text) GROUP BY a.domain")
+def packed_stream_leaks(spark, sf_dir):
+    return streams.leaks(streams.documents(streams.shards(spark, _streams(spark, sf_dir)))).groupBy("domain").agg(F.count(F.lit(1)).alias("leaks"), F.count_if("substantial").alias("substantial"))
+
+
+@query()
+def packed_stream_repair(spark, sf_dir):
+    from corpuswright.sources.tables import new_dir, qualified
+
+    return streams.repair(spark, _streams(spark, sf_dir), qualified(spark, new_dir(spark, "repaired")), STREAM_SHARD, STREAM_LENGTH)
+
+
+@query()
+def corpus_validation(spark, sf_dir):
+    from corpuswright.sources import state
+
+    folder = _streams(spark, sf_dir)
+    records = state.shard_records(spark, folder)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("split") == k, F.col("n_tokens"))), F.lit(0)).alias(f"tokens_{k}")
+    stats = records.groupBy("domain").agg(of("train"), of("val")).withColumn("status", F.lit("complete"))
+    quotas = stats.select("domain", F.lit(1000).alias("train_quota"), F.lit(100).alias("val_quota"))
+    canaries = admission.canaries(spark.createDataFrame(DENY, DENY_SCHEMA), spark.createDataFrame(LOCK, LOCK_SCHEMA))
+    records = records.withColumn("partial", F.lit(False)).withColumn("format", F.lit(None).cast("string"))
+    return validate.report(spark, folder, records, stats, quotas, canaries, None, 260).select("ord", "domain", "gate", "ok", "detail")
+
+
 # ---- streaming, and the star tables ---------------------------------------
 
 

@@ -15,7 +15,7 @@ from corpuswright.functions.text import is_blank, source_key
 TEXT_COLUMNS = ("text", "article", "body", "article_text", "content", "abstract", "summary", "document")
 #: Fixed value: columns that a text table keeps besides its text.
 EXTRA_COLUMNS = ("id", "metadata", "file_path", "url", "dump")
-#: Longest line of a compressed JSON file; longer ones are dropped.
+#: Fixed value: bytes of the longest line of a gzip JSON file; longer ones are dropped.
 LONGEST_LINE = 16 * 1024 * 1024
 
 SOURCE_DOC = T.StructType(
@@ -56,6 +56,12 @@ def _read(spark: SparkSession, path: str, kind: str, schema: T.StructType | None
         return reader.parquet(path).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
     if kind == "csv":
         df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    elif path.lower().endswith(".gz"):
+        known = spark.createDataFrame([], schema).schema if schema else spark.read.option("ignoreCorruptFiles", True).json(path).schema
+        lines = spark.read.option("ignoreCorruptFiles", True).text(path).where(F.octet_length("value") <= LONGEST_LINE)
+        rows = lines.select(F.from_json("value", known).alias("row"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__at"))
+        df = rows.where(F.coalesce(*(F.col(f"row.`{c}`").cast("string") for c in known.names)).isNotNull()).select("row.*", "path", "__at")
+        return _numbered(df, F.col("__at")).drop("__at")
     else:
         df = reader.option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(path)
     return _numbered(df.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__at")), F.col("__at")).drop("__at")
@@ -64,7 +70,7 @@ def _read(spark: SparkSession, path: str, kind: str, schema: T.StructType | None
 def text_table(spark: SparkSession, path: str, domain: str, dataset_id: str, kind: str | None = None, schema: T.StructType | None = None, source_ord: int = 0) -> DataFrame:
     """A locked table of texts (Parquet, CSV, JSON lines, gzip or not): native_id is path:row_index, the row's place among all rows of its file.
 
-    Malformed JSON lines, lines over LONGEST_LINE characters and the cut tail of a damaged gzip file are dropped.
+    Malformed JSON lines, lines of gzip files over LONGEST_LINE bytes and the cut tail of a damaged gzip file are dropped.
     """
     name = path.lower().removesuffix(".gz")
     kind = kind or ("parquet" if name.endswith(".parquet") else "csv" if name.endswith(".csv") else "json")
@@ -78,7 +84,7 @@ def text_table(spark: SparkSession, path: str, domain: str, dataset_id: str, kin
         F.lit(domain).alias("domain"), F.lit(dataset_id).alias("dataset_id"), F.concat_ws(":", "path", F.col("row_index").cast("string")).alias("native_id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.array(F.concat(F.lit("id:"), F.concat_ws(":", "path", F.col("row_index").cast("string")))).alias("source_keys"), F.lit(None).cast("string").alias("language"), extra.alias("extra"), F.lit(source_ord).alias("source_ord"), "path", "row_index",
     )
-    return out.where(~is_blank("text") & (F.length("text") <= LONGEST_LINE))
+    return out.where(~is_blank("text"))
 
 
 def web_documents(df: DataFrame, domain: str = "general", dataset_id: str = "web") -> DataFrame:
@@ -99,8 +105,11 @@ def union_all(sources: list[DataFrame], start: int = 0, skip: int = 0) -> DataFr
     for i, df in enumerate(sources[start:], start):
         df = df.withColumn("source_ord", F.lit(i))
         if i == start and skip:
-            # A row number over one source only, by its files and rows.
-            df = df.withColumn("__nth", F.row_number().over(Window.partitionBy("source_ord").orderBy("path", "row_index"))).where(F.col("__nth") > skip).drop("__nth")
+            # The last row to skip is found by places alone; texts are only filtered.
+            at = F.struct("path", "row_index")
+            last = df.select(at.alias("at")).orderBy("at").limit(skip).agg(F.max("at").alias("at")).first()["at"]
+            if last is not None:
+                df = df.where((F.col("path") > last["path"]) | (F.col("path") == last["path"]) & (F.col("row_index") > last["row_index"]))
         parts.append(df)
     return reduce(DataFrame.unionByName, parts)
 
@@ -142,8 +151,9 @@ def resume_cursor(state: dict | None, n_sources: int) -> tuple[int, int]:
 
 
 def marker_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose name or text holds a denied marker."""
+    """Files whose name, or a line of which, holds a denied marker; no file is read as one value."""
     from corpuswright.operators.filters import hits_denied_marker
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.where(hits_denied_marker(F.col("path"), F.decode("content", "ISO-8859-1"))).select("path")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(hits_denied_marker(F.col("path")))
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    return names.unionByName(lines.where(hits_denied_marker(F.col("value"))).select("path")).distinct()
