@@ -124,18 +124,28 @@ def pack(pieces: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFr
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        shard = table.column("__shard").to_numpy()
-        table = table.drop_columns(["__shard"])
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            own = table.slice(a, z - a)
-            where, offset, _ = best_fit_decreasing(own.column("length").to_pylist(), length)
-            ids = np.array(where, np.int64) * shards + int(shard[a])
-            yield from own.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64())).to_batches()
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            shard = table.column("__shard")[0].as_py()
+            table = table.drop_columns(["__shard"])
+            where, offset, _ = best_fit_decreasing(table.column("length").to_pylist(), length)
+            ids = np.array(where, np.int64) * shards + shard
+            yield from table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64())).to_batches()
+
+        # A task may have several shards; one at a time is held.
+        for b in batches:
+            shard = b.column("__shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if held and z > a and held[-1].column("__shard")[0].as_py() != shard[a]:
+                    yield from packed()
+                    held = []
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from packed()
 
     return ordered.mapInArrow(lean(run), schema)
 
