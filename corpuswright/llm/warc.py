@@ -100,6 +100,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
     slim = pages.select(k.alias("k2"), F.sha2(data, 256).alias("digest2"), F.octet_length(data).alias("n")).where(F.col("n") >= REVISIT_BYTES)
     shared = slim.groupBy("digest2").agg(F.min("k2").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest2", "first")
+    # Written, so that the join has a shuffle on both sides and a payload that outgrows a task can be split over several.
+    shared, _ = written(shared, "shared")
     of = slim.join(shared, "digest2").select("k2", "digest2", "first").distinct()
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(k.alias("k"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.sha2(data, 256).alias("digest")).repartition(n, "k", "digest")
@@ -128,8 +130,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return written(rows.mapInArrow(lean(run), "archive long, records long"), "archives")[0]
 
 
-def normalise(archives: DataFrame, folder: str, keep_monolithic: bool = False) -> DataFrame:
-    """Rewrite ``crawl-N.warc.gz`` as ``pages-N.warc.gz``, a member a record, with ``pages-N.idx``; a stored table of numbers and counts. An old file goes once its new ones are in place."""
+def normalise(archives: DataFrame, folder: str, keep_monolithic: bool = True) -> DataFrame:
+    """Rewrite ``crawl-N.warc.gz`` as ``pages-N.warc.gz``, a member a record, with ``pages-N.idx``; a stored table of numbers and counts. Without keep_monolithic an old file goes once its new ones are in place."""
     spark = archives.sparkSession
     free_shuffles(spark)  # of the pages, which write() dealt out
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -212,4 +214,4 @@ def read(archives: DataFrame, folder: str, with_payload: bool = False) -> DataFr
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = qualified(spark, new_dir(spark, "warc"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return read(normalise(write(pages, folder), folder), folder)
+    return read(normalise(write(pages, folder), folder, keep_monolithic=False), folder)
