@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.operators import streams
 from corpuswright.operators.filters import DENIED_MARKERS
+from corpuswright.sources.tables import written
 
 #: A denied shard's name, tokens of a shard whose ids are looked at, formats of shards.
 DENIED_NAME, SAMPLED, FORMATS = "000_00041", 8192, ("packed-v1",)
@@ -101,11 +102,11 @@ def report(spark: SparkSession, folder: str, records: DataFrame, stats: DataFram
     rows = [whole(1, "no_denied_marker", denied is None, denied), whole(2, "deny_list_active", n > 0 and passed == 0, None if n else "empty"), whole(3, "no_partial_shards", under is None, under), whole(4, "no_partial_buffers", left is None, left), whole(5, "tokenizer", tokenizer is None, tokenizer)]
 
     shard_rows = streams.shards(spark, folder)
-    docs = streams.documents(shard_rows)
-    audited = streams.audit(docs.drop("data"), shard_rows)
+    docs = written(streams.documents(shard_rows).drop("data"), "documents")
+    audited = streams.audit(docs, shard_rows)
     of = lambda split, column, alias: F.max(F.when(F.col("split") == split, F.col(column))).alias(alias)
     repeats = audited.groupBy("domain").agg(of("train", "first_collision", "again_train"), of("val", "first_collision", "again_val"))
-    leaked = streams.leaks(docs.drop("data")).groupBy("domain").agg(F.count(F.lit(1)).alias("leaks"))
+    leaked = streams.leaks(docs).groupBy("domain").agg(F.count(F.lit(1)).alias("leaks"))
     shards = checked_shards(spark, folder, records, vocabulary)
     bad = shards.groupBy("domain").agg(F.min(F.when(F.col("problem").isNotNull(), F.concat_ws(" ", "split", "file", "problem"))).alias("bad"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
     files = shard_rows.groupBy("domain").agg(F.count_if(F.col("split") == "train").alias("f_train"), F.count_if(F.col("split") == "val").alias("f_val"))

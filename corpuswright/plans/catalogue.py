@@ -761,7 +761,7 @@ a AS (SELECT domain, split, count(*) AS n_docs, count(*) FILTER (nth = 1) AS n_u
 SELECT a.*, CAST((kept + {_W - 1}) // {_W} AS BIGINT) AS n_shards, coalesce(t.n, 0) AS n_stitched_shards FROM a JOIN k USING (domain, split) LEFT JOIN t USING (domain, split)""")
 def packed_stream_audit(spark, sf_dir):
     rows = streams.shards(spark, _streams(spark, sf_dir))
-    return streams.audit(streams.documents(rows).drop("data"), rows)
+    return streams.audit(written(streams.documents(rows).drop("data"), "documents"), rows)
 
 
 @query(f"WITH {STREAM_SQL} SELECT domain, shard, split, CAST(stop - n - 1 AS BIGINT) AS place, n AS n_tokens FROM c")
