@@ -228,12 +228,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
                     keys.append(r["key"])
                     held.append(r["text"])
             # A block is small (ASKING, or one long text): its shingles are found once and kept.
-            counted = [(texts, *counted_shingles(texts)) for texts in _texts(iter(held))]
+            counted = []
+            for texts in _texts(iter(held)):
+                doc, sh, count, w, h = counted_shingles(texts)
+                counted.append((texts, doc.astype(np.int32), sh, count.astype(np.int32), nodes(texts, w, h), w.counts() > 0))
+                del w, h  # the words are the larger part
             values = _distinct(np.concatenate([c[2] for c in counted]))
             frequency = np.concatenate([np.zeros(0, "<u4"), *known])
             assert len(frequency) == len(values)
             i = 0
-            for texts, doc, sh, count, w, h in counted:
+            for texts, doc, sh, count, names, some in counted:
                 df = frequency[np.searchsorted(values, sh)]
                 lnw = weights(count, df, n)
                 s = samples(doc, sh, lnw, len(texts), BANDS * ROWS)
@@ -242,10 +246,9 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
                 bands = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands + s[:, r::ROWS] + np.uint64(r + 1))
-                some = w.counts() > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(bands[some].ravel().view(np.int64)))
                 dfs = [df[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + len(texts)], kind), pa.array(nodes(texts, w, h), pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(total, pa.float64()), pa.array(dfs, pa.binary()), lists], names=["key", "node", "raw", "n_bytes", "total", "df", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + len(texts)], kind), pa.array(names, pa.binary()), pa.array([_md5(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(total, pa.float64()), pa.array(dfs, pa.binary()), lists], names=["key", "node", "raw", "n_bytes", "total", "df", "bands"])
                 i += len(texts)
 
     sig, _ = written(rows.mapInArrow(lean(run), schema), "signatures")
