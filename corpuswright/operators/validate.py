@@ -113,6 +113,8 @@ def report(spark: SparkSession, folder: str, records: DataFrame, stats: DataFram
     d = quotas.join(stats, "domain", "left")
     for other in (repeats, leaked, bad, files):
         d = d.join(other, "domain", "left")
+    # A row a domain, read twice below: streams and shards are read and hashed once.
+    d = written(d, "gates")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
 
     def gate(name: str, ok: Column, detail: Column) -> Column:
@@ -137,7 +139,7 @@ def report(spark: SparkSession, folder: str, records: DataFrame, stats: DataFram
     out = rows[0]
     for r in (*rows[1:], by_domain, total):
         out = out.unionByName(r)
-    return out
+    return written(out, "report")
 
 
 def require(report_: DataFrame) -> None:
