@@ -83,6 +83,20 @@ def char_budgets(chars: DataFrame, n: int) -> DataFrame:
     return chars.select("domain", F.floor(F.col("weight") * n).cast("long").alias("budget"), "chars").withColumn("rounds", F.when(F.col("chars") > 0, F.ceil(F.col("budget") / F.col("chars"))).otherwise(0).cast("long"))
 
 
+def mixed_pieces(docs: DataFrame, budgets: DataFrame, order: str = "seq", text: str = "text") -> DataFrame:
+    """domain, round, order, place, text: each domain's documents one after another, gone through again until its budget of characters is full; the last piece is cut.
+
+    budgets: domain, budget, chars, rounds, as char_budgets gives them. place is
+    the piece's first character among its domain's. Null and empty texts give no
+    piece; a domain without text or budget none.
+    """
+    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    d = prefix_sum(docs.select("domain", order, text, n.alias("n")).where("n > 0"), ["domain"], order, "n", "before")
+    d = d.join(budgets.select("domain", "budget", "chars"), "domain").where("before < budget")
+    d = d.withColumn("round", F.explode(F.expr("sequence(0L, (budget - before - 1) div chars)"))).withColumn("place", F.expr("round * chars + before"))
+    return d.select("domain", "round", order, "place", F.substring(text, F.lit(1), F.least("n", F.col("budget") - F.col("place")).cast("int")).alias(text))
+
+
 def render_dialogues(turns: DataFrame, most: int | None = None) -> DataFrame:
     """conv_id, text: user and assistant turns in order, others dropped, blank ones too; at most ``most`` conversations by id. A conversation is one row by contract."""
     role = F.when(F.lower("role").isin("user", "human"), "User").when(F.lower("role").isin("assistant", "gpt"), "Assistant")

@@ -22,6 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 TRAIN, VAL, LANGUAGE = 120_000, 3_000, 9_000
 LENGTH, SHARD = 128, 5_000
+REPLAY_LANGUAGES = {"src0": 2_000}
 WEIGHTS = {"en": 0.55, "fr": 0.20, "de": 0.15, "es": 0.10}
 DOMAIN_ORD = {"en": 0, "fr": 1, "de": 2, "es": 3}
 
@@ -197,6 +198,14 @@ def blob_join(spark, sf_dir):
     return d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
+@query("SELECT doc_id AS seq, 'swh:' || doc_id AS source_key, length(text) AS n_chars FROM documents JOIN labels USING (doc_id) WHERE (toxic = 0 OR doc_id % 5 = 0) AND quality + 3 >= 4 AND trim(text) <> ''")
+def eligible_code_documents(spark, sf_dir):
+    kind, found = F.when(F.col("toxic") == 0, "permissive").otherwise("no_license"), F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(" MIT ")))
+    rows = table(spark, sf_dir, "labels").select(kind.alias("license_type"), found.alias("detected_licenses"), (F.col("quality") + 3).alias("int_score"), F.lit(None).cast("string").alias("score"), F.col("doc_id").cast("string").alias("blob_id"), F.col("doc_id").alias("seq"))
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("blob_id"), "text")
+    return scans.code_documents(rows, blobs).select("seq", F.element_at("source_keys", 1).alias("source_key"), F.length("text").alias("n_chars"))
+
+
 @query("SELECT text_column, count(*) AS n FROM (SELECT 'text' AS text_column FROM documents WHERE trim(text) <> '') GROUP BY 1")
 def text_table_scan(spark, sf_dir):
     d = scans.text_table(spark, f"{sf_dir}/documents.parquet", "general", "documents")
@@ -237,6 +246,14 @@ def replay_split(spark, sf_dir):
 QUERIES["replay_split"] = replay_split
 ORACLE_SQL["replay_split"] = f"SELECT domain, seq, split AS outcome FROM ({_split_sql(False)}) WHERE split IS NOT NULL"
 
+
+@query()
+def replay_with_keys(spark, sf_dir):
+    """Two keys a document, some shared with others: a rejected document's other key stays free."""
+    keys = F.array(source_key("id", F.expr("seq div 3")), source_key("url", F.concat(F.lit("h.org/"), F.expr("seq * 7 % 1009").cast("string"))))
+    return dedup.replay(prepared(spark, sf_dir).withColumn("source_keys", keys), TRAIN, VAL, REPLAY_LANGUAGES)
+
+
 _LANG_ROWS = ", ".join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(split.CODE_LANGUAGES.items()))
 
 
@@ -432,6 +449,16 @@ def stratified_char_budget(spark, sf_dir):
     return mixture.char_budgets(d, 1_000_000).select("domain", "budget", "chars", "rounds")
 
 
+@query(f"""WITH d AS (SELECT lang AS domain, doc_id AS seq, text, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id {BEFORE}), 0) AS b, sum(length(text)) OVER (PARTITION BY lang) AS chars FROM documents WHERE text <> ''),
+w AS (SELECT *, CAST(floor(w * 4000000) AS BIGINT) AS budget FROM d JOIN (VALUES ('en', 0.55::DOUBLE), ('fr', 0.2::DOUBLE), ('de', 0.15::DOUBLE), ('es', 0.1::DOUBLE)) AS t(lang, w) ON lang = domain),
+r AS (SELECT *, unnest(range(CAST((budget - b - 1) // chars + 1 AS BIGINT))) AS round FROM w WHERE b < budget)
+SELECT domain, round, seq, CAST(round * chars + b AS BIGINT) AS place, sha256(substr(text, 1, CAST(least(n, budget - round * chars - b) AS BIGINT))) AS text_sha256 FROM r""")
+def mixed_text_pieces(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), F.col("doc_id").alias("seq"), "text")
+    chars = d.groupBy("domain").agg(F.sum(F.length("text")).alias("chars")).withColumn("weight", mapping(WEIGHTS, F.col("domain")))
+    return mixture.mixed_pieces(d, mixture.char_budgets(chars, 4_000_000)).select("domain", "round", "seq", "place", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("""SELECT conv_id, string_agg(CASE WHEN lower(role) IN ('user', 'human') THEN 'User: ' ELSE 'Assistant: ' END || trim(text), chr(10) ORDER BY turn) AS text FROM conversations WHERE lower(role) IN ('user', 'human', 'assistant', 'gpt') AND trim(text) <> '' GROUP BY conv_id""")
 def conversation_render(spark, sf_dir):
     return mixture.render_dialogues(table(spark, sf_dir, "conversations"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpuswright.functions.text import is_blank, source_key
+from corpuswright.operators.filters import code_row_is_eligible, hits_denied_marker
 
 #: Fixed value: column names that hold text, by preference.
 TEXT_COLUMNS = ("text", "article", "body", "article_text", "content", "abstract", "summary", "document")
@@ -70,7 +71,7 @@ def _read(spark: SparkSession, path: str, kind: str, schema: T.StructType | None
 def text_table(spark: SparkSession, path: str, domain: str, dataset_id: str, kind: str | None = None, schema: T.StructType | None = None, source_ord: int = 0) -> DataFrame:
     """A locked table of texts (Parquet, CSV, JSON lines, gzip or not): native_id is path:row_index, the row's place among all rows of its file.
 
-    Malformed JSON lines, lines of gzip files over LONGEST_LINE bytes and the cut tail of a damaged gzip file are dropped.
+    Malformed JSON lines, lines of gzip files over LONGEST_LINE bytes and the cut tail of a damaged gzip file are dropped, and rows whose path, file_path, metadata or id names a denied shard.
     """
     name = path.lower().removesuffix(".gz")
     kind = kind or ("parquet" if name.endswith(".parquet") else "csv" if name.endswith(".csv") else "json")
@@ -80,7 +81,8 @@ def text_table(spark: SparkSession, path: str, domain: str, dataset_id: str, kin
     extras = [c for c in EXTRA_COLUMNS if c in own and c != text]
     pairs = [x for c in extras for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     extra = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
-    out = df.select(
+    denied = hits_denied_marker(F.col("path"), *(F.col(f"`{c}`").cast("string") for c in ("file_path", "metadata", "id") if c in extras))
+    out = df.where(~denied).select(
         F.lit(domain).alias("domain"), F.lit(dataset_id).alias("dataset_id"), F.concat_ws(":", "path", F.col("row_index").cast("string")).alias("native_id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.array(F.concat(F.lit("id:"), F.concat_ws(":", "path", F.col("row_index").cast("string")))).alias("source_keys"), F.lit(None).cast("string").alias("language"), extra.alias("extra"), F.lit(source_ord).alias("source_ord"), "path", "row_index",
     )
@@ -94,6 +96,16 @@ def web_documents(df: DataFrame, domain: str = "general", dataset_id: str = "web
     return keep_text_rows(df).select(F.lit(domain).alias("domain"), F.lit(dataset_id).alias("dataset_id"), native.alias("native_id"), "text", keys.alias("source_keys"), "seq")
 
 
+def code_documents(rows: DataFrame, blobs: DataFrame, domain: str = "code", dataset_id: str = "code", least: float = 4, below: float | None = None) -> DataFrame:
+    """Eligible rows (license_type, detected_licenses, int_score, score, blob_id, seq) with the texts of their blobs (blob_id, text).
+
+    Rows are filtered before they meet a text; those without a blob or with a blank text go. Rows that share a blob are all kept; order is seq.
+    """
+    own = rows.where(code_row_is_eligible(*(F.col(c) for c in ("license_type", "detected_licenses", "int_score", "score", "blob_id")), least, below)).select("blob_id", "seq")
+    met = own.join(blobs.where(~is_blank("text")).select("blob_id", "text"), "blob_id")
+    return met.select(F.lit(domain).alias("domain"), F.lit(dataset_id).alias("dataset_id"), F.col("blob_id").alias("native_id"), "text", F.array(source_key("swh", "blob_id")).alias("source_keys"), "seq")
+
+
 def top_rows(df: DataFrame, shard: str, order: str, most: int) -> DataFrame:
     """The first ``most`` rows of each shard."""
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(shard).orderBy(order))).where(F.col("__nth") <= most).drop("__nth")
@@ -152,8 +164,6 @@ def resume_cursor(state: dict | None, n_sources: int) -> tuple[int, int]:
 
 def marker_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose name, or a line of which, holds a denied marker; no file is read as one value."""
-    from corpuswright.operators.filters import hits_denied_marker
-
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(hits_denied_marker(F.col("path")))
     lines = spark.read.option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
     return names.unionByName(lines.where(hits_denied_marker(F.col("value"))).select("path")).distinct()

@@ -281,3 +281,47 @@ def test_content_duplicates_in_other_unicode_forms(spark, tmp_path):
     rows = [(1, "caf\u00e9 noir", "fr", "web"), (2, " cafe\u0301 noir", "fr", "web"), (3, "cafe noir", "fr", "web")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.is_first for r in catalogue.content_hash_dedup(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_replay_with_keys_equals_a_plain_loop(spark, sf):
+    rows = sorted(catalogue.prepared(spark, sf).collect(), key=lambda r: r.seq)
+    domains = {r.domain: (set(), set(), {"train": 0, "val": 0}, {}) for r in rows}
+    want = {}
+    for r in rows:
+        content, keys, n, by_language = domains[r.domain]
+        own = {f"id:{r.seq // 3}", f"url:http://h.org/{r.seq * 7 % 1009}"}
+        limit = catalogue.REPLAY_LANGUAGES.get(r.language, float("inf"))
+        if n["train"] >= catalogue.TRAIN and n["val"] >= catalogue.VAL:
+            out = "skipped"
+        elif r.sha256 in content or own & keys:
+            out = "duplicate_content" if r.sha256 in content else "duplicate_key"
+        elif r.in_val and n["val"] < catalogue.VAL:
+            out = "val"
+        else:
+            out = "train" if n["train"] < catalogue.TRAIN and by_language.get(r.language, 0) < limit else "skipped"
+        if out in n:
+            n[out] += r.n
+            content.add(r.sha256)
+            keys |= own
+            by_language[r.language] = by_language.get(r.language, 0) + (r.n if out == "train" else 0)
+        want[r.seq] = out
+    got = {r.seq: r.outcome for r in catalogue.QUERIES["replay_with_keys"](spark, sf).collect()}
+    assert got == want and {"train", "duplicate_key"} <= set(want.values())
+
+
+def test_mixed_pieces(spark):
+    texts = {"a": ["abc", None, "", "defg"], "b": ["xyz"], "c": [""]}
+    docs = spark.createDataFrame([(d, i, t) for d, ts in texts.items() for i, t in enumerate(ts)], "domain string, seq long, text string")
+    budgets = spark.createDataFrame([("a", 17, 7, 3), ("b", 2, 3, 1), ("c", 5, 0, 0)], "domain string, budget long, chars long, rounds long")
+    got = sorted(mixture.mixed_pieces(docs, budgets).collect(), key=lambda r: (r.domain, r.place))
+    assert ["".join(r.text for r in got if r.domain == d) for d in "abc"] == ["abcdefgabcdefgabc", "xy", ""]
+
+
+def test_denied_rows_and_blobs(spark, tmp_path):
+    rows = [("0", "t0", "x/y.parquet"), ("1", "t1", "data\\CC-MAIN-2024-38\\000_00041.parquet"), ("2", " ", None), ("3", "t3", None)]
+    spark.createDataFrame(rows, "id string, text string, file_path string").coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    assert sorted((r.text, r.row_index) for r in scans.text_table(spark, f"file://{tmp_path}/t", "general", "d", "parquet").collect()) == [("t0", 0), ("t3", 3)]
+    code = spark.createDataFrame([("permissive", 4, "k1", 0), ("permissive", 3, "k1", 1), ("none", 5, "k1", 2), ("permissive", 5, "k2", 3), ("permissive", 5, "k3", 4), ("permissive", 5, None, 5), ("permissive", 5, "k1", 6)], "license_type string, int_score int, blob_id string, seq long")
+    code = code.withColumn("detected_licenses", F.lit(None).cast("array<string>")).withColumn("score", F.lit(None).cast("string"))
+    blobs = spark.createDataFrame([("k1", "body"), ("k2", " "), (None, "x")], "blob_id string, text string")
+    assert sorted((r.seq, r.text, r.source_keys) for r in scans.code_documents(code, blobs).collect()) == [(0, "body", ["swh:k1"]), (6, "body", ["swh:k1"])]
