@@ -28,7 +28,19 @@ def gpu_hours(tokens: Column, rate: Column) -> Column:
 
 
 def projected_cost(spent: Column, preprocess: Column, tokens: Column, rate: Column) -> Column:
-    return F.greatest(spent + preprocess, F.lit(0.0)) + gpu_hours(tokens, rate) * GPU_HOUR + EXPORT_RESERVE
+    """The fixed dollars are added up first, so that a sum is rounded once."""
+    return gpu_hours(tokens, rate) * GPU_HOUR + (F.greatest(spent + preprocess, F.lit(0.0)) + EXPORT_RESERVE)
+
+
+def rounded(value: Column, places: int) -> Column:
+    """The double next to value * 10 ** places without a fraction (halves away from zero), over 10 ** places: DuckDB's round.
+
+    Spark's round goes by the shortest decimals of the value itself, which differ
+    where the product is half a unit only as a double.
+    """
+    scaled = value * float(10**places)
+    # A product beyond the largest double leaves the value as it is.
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / float(10**places)).otherwise(value)
 
 
 def may_continue(total: Column) -> Column:
