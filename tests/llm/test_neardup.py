@@ -134,3 +134,23 @@ def test_very_long_and_repeated_rows(spark):
     long = " ".join(f"w{r.randint(0, 10**5)}" for _ in range(120_000))
     df = spark.createDataFrame([(1, long, "x"), (1, long, "y"), (2, long + " tail of it", None), (3, long[: len(long) // 2], None), (None, "n", "z")], "doc_id long, text string, label string")
     assert sorted(map(tuple, n.classes(df).collect()), key=str) == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 1), (None, None, 1)]
+
+
+def test_copies_count_once(spark, monkeypatch):
+    """Near copies in a large group of exact copies: the copies don't make the shared words weigh less than the edits."""
+    r = random.Random(8)
+    text = lambda k: [f"w{r.randint(0, 10**6)}" for _ in range(k)]
+    base = text(120)
+    near = []
+    for i in range(2):
+        words = list(base)
+        words[40 + 40 * i] = "edit"
+        words[60 + 30 * i] = "other"
+        near.append(" ".join(words))
+    different = [" ".join(base), *near, *(" ".join(text(12)) for _ in range(200))]
+    rows = list(enumerate([*different, *[different[0]] * 300]))
+    monkeypatch.setattr(n, "ASKING", 20_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
+    assert [got[i] for i, _ in rows[: len(different)]] == brute(different)
+    assert got[1] == got[2] == 0 and all(got[i] == 0 for i in range(len(different), len(rows)))
