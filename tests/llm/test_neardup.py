@@ -154,3 +154,33 @@ def test_copies_count_once(spark, monkeypatch):
     got = {x.doc_id: x.class_id for x in n.classes(df).collect()}
     assert [got[i] for i, _ in rows[: len(different)]] == brute(different)
     assert got[1] == got[2] == 0 and all(got[i] == 0 for i in range(len(different), len(rows)))
+
+
+def test_texts_are_dealt_once_for_all_meetings(spark, monkeypatch, tmp_path):
+    """Keys that take several chunks, and rows that share a doc_id: the whole table is read once to compare, both rounds take the members' texts from there."""
+    r = random.Random(12)
+    out = []
+    for _ in range(3):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+        for step in range(14):
+            words[8 * step] = f"edit{r.randint(0, 10**6)}"
+            out.append(" ".join(words))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").write.parquet(path)
+    read, written = [], n.written
+
+    def seen(df, name, *a, **b):
+        read.append((name, any("documents.parquet" in f for f in df.inputFiles())))
+        return written(df, name, *a, **b)
+
+    monkeypatch.setattr(n, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(n, "written", seen)
+    got = {x.doc_id: x.class_id for x in n.classes(spark.read.parquet(path)).collect()}
+    assert [got[i] for i in range(len(out))] == brute(out)
+    names = [name for name, _ in read]
+    assert names.count("links") == 2  # keys in several chunks met again
+    assert sum(whole for _, whole in read[names.index("members") :]) == 1
+    # Of rows that share a doc_id, each node has its own text.
+    ids, of = [7 if i < 28 else i for i in range(len(out))], brute(out)
+    same = spark.createDataFrame(list(zip(ids, out, strict=True)), "doc_id long, text string")
+    assert sorted(x.class_id for x in n.classes(same).collect()) == sorted(min(i for i, d in zip(ids, of, strict=True) if d == c) for c in of)
