@@ -96,3 +96,27 @@ def test_text_keeps_whole_characters(spark):
     got = {r.doc_id: r.text for r in s.without_repeats(df).collect()}
     assert got[1] == "äö" and got[2] == "ëï" and got[3] == "clean" and got[4] is None
     assert s.without_repeats(df.limit(0)).count() == 0
+
+
+def test_planted_passages_and_clean_texts(spark):
+    """Passages of 51 to 90 words in two texts each: those of 400 bytes go whole, shorter ones stay, as the contract has it; clean texts are left alone. n_bytes is the input's length in all cases."""
+    r = random.Random(21)
+    text = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 10))) for _ in range(n))
+    rows, planted = [], []
+    for i in range(40):
+        passage = text(51 + i)
+        planted.append(passage)
+        for _ in range(2):
+            rows.append((len(rows), f"{text(60)}\n{passage}\n{text(60)}"))
+    clean = [(len(rows) + i, text(150)) for i in range(40)]
+    got = {x.doc_id: x for x in s.removed(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    long = [len(p) >= 400 for p in planted]
+    assert 5 < sum(long) < 40
+    for i, t in rows:
+        p = planted[i // 2]
+        assert (p in got[i].text) is (not long[i // 2])
+        assert got[i].n_removed >= len(p) if long[i // 2] else got[i].n_removed == 0
+        assert got[i].n_bytes == len(t)
+    for i, t in clean:
+        assert (got[i].n_removed, got[i].n_spans, got[i].text) == (0, 0, t)
+        assert got[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest()
