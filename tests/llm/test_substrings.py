@@ -120,3 +120,12 @@ def test_planted_passages_and_clean_texts(spark):
     for i, t in clean:
         assert (got[i].n_removed, got[i].n_spans, got[i].text) == (0, 0, t)
         assert got[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_query_returns_the_contract(spark, rows, tmp_path):
+    """The query itself: the contract's columns in their order, at 400 bytes, then the kept text."""
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = s.op3_query(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("text", "string")]
+    got = {r.doc_id: tuple(r)[1:5] for r in out.collect()}
+    assert [got[i] for i, _ in rows] == brute([t for _, t in rows], 400)
