@@ -24,7 +24,8 @@ def perplexity(loss: Column) -> Column:
 
 
 def gpu_hours(tokens: Column, rate: Column) -> Column:
-    return F.when((rate > 0) & (tokens > 0), tokens / rate / 3600.0).otherwise(F.lit(float("inf")))
+    """Divided as doubles whatever the columns' types, as DuckDB does; Spark would divide a long by a decimal as decimals."""
+    return F.when((rate > 0) & (tokens > 0), tokens.cast("double") / rate.cast("double") / 3600.0).otherwise(F.lit(float("inf")))
 
 
 def projected_cost(spent: Column, preprocess: Column, tokens: Column, rate: Column) -> Column:
